@@ -2,6 +2,7 @@ import json
 
 import pandas as pd
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from lariat.operators.label import create_target_variable
@@ -44,7 +45,7 @@ def test_merge(spark, base):
 
 def test_malformed_json_fails(spark, tmp_path):
     path = write(tmp_path / "bad.json", '{"1": {')
-    with pytest.raises(PySparkException):
+    with pytest.raises((PySparkException, Py4JJavaError)):
         read_keyed_json(spark, path, JOBS).collect()
 
 
