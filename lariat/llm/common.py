@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: they may not share the driver's import path."""
+    context = spark.sparkContext
+    if getattr(context, "_lariat_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(), "lariat_workers.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(target)
+    context._lariat_shipped = True
+
+
 class WordHashes(dict):
     """word (bytes) -> signed 64-bit hash; forgets everything at ``limit`` words, so memory is bounded."""
 

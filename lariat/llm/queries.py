@@ -41,3 +41,11 @@ def op4_quality(spark, d):
     from lariat.llm.quality import quality_rules
 
     return quality_rules(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"))[0]
+
+
+@query
+def op7_decontamination(spark, d):
+    from lariat.llm.decontamination import find_contamination
+
+    out = find_contamination(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

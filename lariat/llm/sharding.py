@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lariat.llm.common import materialise
+from lariat.llm.common import materialise, ship
 
 #: Bounds of what reaches the driver: sampled keys, and ranges.
 SAMPLES = 8192
@@ -56,6 +56,7 @@ def shard_by_splitters(docs: DataFrame, shards: int, text: str = "text", doc_id:
     Only sampled keys (``samples``) and range totals (``ranges`` times the splits) reach the driver.
     """
     spark = docs.sparkSession
+    ship(spark)
     low = np.iinfo(np.int64).min
     keys = materialise(docs.select(
         F.col(doc_id).alias("doc_id"),
