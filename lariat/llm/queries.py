@@ -49,3 +49,17 @@ def op7_decontamination(spark, d):
 
     out = find_contamination(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op5_token_counts(spark, d):
+    from lariat.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_packing(spark, d):
+    from lariat.llm.packing import pack
+
+    return pack(table(spark, d, "documents").select("doc_id", "text"))
