@@ -63,3 +63,11 @@ def op10_packing(spark, d):
     from lariat.llm.packing import pack
 
     return pack(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_toxicity(spark, d):
+    from lariat.llm.toxicity import score_toxicity
+
+    out = score_toxicity(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "mean")
