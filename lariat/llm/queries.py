@@ -71,3 +71,10 @@ def op9_toxicity(spark, d):
 
     out = score_toxicity(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted", "mean")
+
+
+@query
+def op3_html_text(spark, d):
+    from lariat.llm.html_extraction import extract_text
+
+    return extract_text(table(spark, d, "pages").select("page_id", "url", "html"))
