@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -18,7 +19,12 @@ def materialise(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lariat-checkpoints"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Shuffle files of what the checkpoint replaces go once the driver has collected its garbage.
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def ship(spark: SparkSession) -> None:

@@ -78,3 +78,10 @@ def op3_html_text(spark, d):
     from lariat.llm.html_extraction import extract_text
 
     return extract_text(table(spark, d, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op6_ngram_jaccard(spark, d):
+    from lariat.llm.ngram_jaccard import jaccard_components
+
+    return jaccard_components(table(spark, d, "documents").select("doc_id", "text"))
