@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterable
 from pathlib import Path
@@ -27,6 +28,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write as Parquet into the shared folder of spark.checkpoint.dir and read again."""
+    spark: SparkSession = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lariat-checkpoints")
+    path = f"{base.rstrip('/')}/lariat-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a session: they may not share the driver's import path."""
     context = spark.sparkContext

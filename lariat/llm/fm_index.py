@@ -135,8 +135,8 @@ class FMIndex:
         base = self.first[symbols] - self.zero[symbols]
         return base + self.wavelet.descend(symbols, lo), base + self.wavelet.descend(symbols, hi)
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of each pattern (rows of symbols, padded on the right); empty where it doesn't occur."""
+    def search(self, patterns: np.ndarray, lengths: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix intervals of each pattern (rows of symbols, padded on the right); empty where it doesn't occur ``least`` times: such a search ends at the step that shows it."""
         m = len(patterns)
         lo, hi = np.zeros(m, np.int64), np.full(m, self.n, np.int64)
         for step in range(int(lengths.max(initial=0))):
@@ -146,6 +146,7 @@ class FMIndex:
             s = patterns[live, lengths[live] - 1 - step]
             a, b = self.extend(s, lo[live], hi[live])
             gone = s == 0
+            gone |= b - a < least
             lo[live], hi[live] = np.where(gone, 0, a), np.where(gone, 0, b)
         return lo, hi
 

@@ -85,3 +85,10 @@ def op6_ngram_jaccard(spark, d):
     from lariat.llm.ngram_jaccard import jaccard_components
 
     return jaccard_components(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_substring_dedup(spark, d):
+    from lariat.llm.substring_dedup import dedup_digest
+
+    return dedup_digest(table(spark, d, "documents").select("doc_id", "text")).drop("removed")
