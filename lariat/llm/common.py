@@ -14,6 +14,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
+ARROW_ROWS = 1000
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the folder of spark.checkpoint.dir, which all executors share. Where it is unset (tests, one machine), a local folder is set."""
     spark: SparkSession = df.sparkSession
@@ -38,7 +41,8 @@ def store(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a session: they may not share the driver's import path."""
+    """Send this package to the Python workers, once a session: they may not share the driver's import path. Arrow batches are kept small, for texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
     if getattr(context, "_lariat_shipped", False):
         return
@@ -54,7 +58,7 @@ def ship(spark: SparkSession) -> None:
 class WordHashes(dict):
     """word (bytes) -> signed 64-bit hash; forgets everything at ``limit`` words, so memory is bounded."""
 
-    limit = 300_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
