@@ -1,4 +1,4 @@
-"""Which 64-bit keys occur more than once, and where: one shuffle of packed, sorted key blocks instead of a row a key, then a sort in each key range. What occurs once never leaves its range."""
+"""Which 48-bit keys occur more than once, and where: one shuffle of packed, sorted key blocks instead of a row a key, then a sort in each key range. What occurs once never leaves its range."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ SAMPLE_ROWS = 8_000
 HOT_IN_SAMPLE = 8
 HOT_KEYS = 50_000
 HOT_COUNT = 1 << 60
+#: Keys are below 2^KEY_BITS and spread evenly.
+KEY_BITS = 48
 
 Emit = Callable[[pd.DataFrame], tuple[np.ndarray, list[np.ndarray]]]
 
@@ -79,14 +81,14 @@ def hot_keys(rows: DataFrame, emit: Callable[[], Emit], order: str, sample: int
 def shared_keys(rows: DataFrame, emit: Callable[[], Emit], payload: list[str], total: int, order: str) -> DataFrame:
     """(key, *payload, n) of every key that occurs more than once; n is how often, HOT_COUNT for hot ones (of which even a single occurrence is given).
 
-    ``emit()`` makes a function from a batch to (keys as uint64, payload arrays of int64). ``total``: about how many keys there are, which sets the number of ranges.
+    ``emit()`` makes a function from a batch to (keys below 2^KEY_BITS as uint64, payload arrays of int64). ``total``: about how many keys there are, which sets the number of ranges.
     """
     ship(rows.sparkSession)
     ranges = max(1, -(-int(total) // RANGE_KEYS))
     context = rows.sparkSession.sparkContext
     hot = context.broadcast(hot_keys(rows, emit, order))
     names = [f"v{i}" for i in range(len(payload))]
-    limits = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+    limits = np.array([(r << KEY_BITS) // ranges for r in range(1, ranges)], np.uint64)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f, held, size = emit(), [], 0
