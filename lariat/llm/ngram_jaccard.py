@@ -18,8 +18,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Up to this size a shingle is a block of its own.
 SMALL = 32
-#: Rounds of verification before all that is left is compared: hubs a text is tried against in each.
-HUBS = (1, 3, 3)
+#: After the star around hubs: how many of the nearest texts, by sketch, of each other component are verified in each round; the last round takes all.
+NEAREST = (2, 16, None)
+#: A bucket is compared in blocks of at most so many texts outside its largest component by so many texts.
+BLOCK = (2_000, 20_000)
 
 
 def shingle_set(text: str | None, cache: WordHashes, k: int = SHINGLE) -> np.ndarray:
@@ -75,6 +77,20 @@ def sketch_keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys >> np.uint64(16), np.concatenate([np.full(len(k), b, np.int64) for k, _, _, b in out]), np.array([len(k) for k, *_ in out])
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """XOR of one bit a shingle, in as many bits as the next power of two above the size (512 at least). The sketches' Hamming distance is at most the symmetric difference; halves XOR to the sketch of half the bits."""
+    bits = max(512, 1 << len(s).bit_length())
+    at = (mix(s ^ np.uint64(0x5BF03635)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def fold(sketch: bytes, size: int) -> np.ndarray:
+    words = np.frombuffer(sketch, np.uint64)
+    while len(words) * 8 > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
@@ -102,7 +118,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     Texts without words have no shingles and link with nothing. Equal sets (exact copies, and repeated rows) are one class, joined once. doc_id must be integral; rows with a null doc_id are members of classes like others, and a class of null ids alone has a null component. If an id repeats with different texts, hashes stand in for ids while joining.
 
-    Nothing about all documents reaches the driver. A block that one class alone holds goes no further; each class publishes its rarest blocks only, as many as exactness needs, so a passage or line that many texts share yields candidates only where texts have little else. A bucket is first tried as a star around one member; only texts of different components meet again.
+    Nothing about all documents reaches the driver. A block that one class alone holds goes no further; each class publishes its rarest blocks only, as many as exactness needs, so a passage or line that many texts share yields candidates only where texts have little else. A bucket is first tried as a star around one member; then texts of different components are compared by sketch, and the nearest are verified until none is left.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -112,20 +128,22 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for b in batches:
-            out = []
+            out, sketches = [], []
             for t in b["text"]:
                 s = shingle_set(t, cache)
                 out.append((len(s), *fingerprint(s)))
+                sketches.append(parity_sketch(s))
             f = np.array(out, np.int64).reshape(-1, 3)
-            yield pd.DataFrame({"id": b["id"], "rid": b["rid"], "size": f[:, 0], "f1": f[:, 1], "f2": f[:, 2]})
+            yield pd.DataFrame({"id": b["id"], "rid": b["rid"], "size": f[:, 0], "f1": f[:, 1], "f2": f[:, 2], "sketch": sketches})
 
     # Ids name rows while they are unique and there is none missing; else hashes of id and text do.
     odd = rows.agg(F.count("*").alias("n"), F.count("id").alias("k"), F.approx_count_distinct("id").alias("u")).first()
     unique = odd.n == odd.k and rows.select("id").distinct().count() == odd.n
     rid = F.col("id") if unique else F.xxhash64("id", "text")
     rows = rows.select("id", "text", rid.alias("rid"))
-    table = materialise(rows.mapInPandas(sizes, "id bigint, rid bigint, size bigint, f1 bigint, f2 bigint"))
+    table = materialise(rows.mapInPandas(sizes, "id bigint, rid bigint, size bigint, f1 bigint, f2 bigint, sketch binary"))
     classes = table.where("size > 0").groupBy("size", "f1", "f2").agg(F.min("rid").alias("node"), F.min("id").alias("low"))
+    sketched = table.select(F.col("rid").alias("node"), "sketch")
     table = materialise(table.join(classes, ["size", "f1", "f2"], "left").select("id", "rid", "size", "node", "low"))
     nodes = table.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.min("low").alias("low"))
     of_row = table.where("node is not null").groupBy("rid").agg(F.min("node").alias("node"), F.min("size").alias("size"))
@@ -168,27 +186,21 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     members = published.select("node").distinct()
     texts = _packed_texts(rows, members)
-    links = None
-    roots = None  # node -> root so far
-    for turn, hubs in enumerate((*HUBS, None)):
-        state = published if roots is None else published.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").drop("__n")
-        state = state.withColumn("root", F.coalesce("root", "node") if roots is not None else F.col("node"))
-        split = state.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min_by(F.struct("node", "size", "root"), F.xxhash64("node", "key", F.lit(turn)) if turn else F.col("node")).alias("hub")).where("a <> b")
-        open_ = state.join(split.select("key", "hub"), "key")
-        if hubs is not None:
-            pairs = open_.select(F.col("node").alias("x"), F.col("size").alias("sx"), "root", F.col("hub.node").alias("y"), F.col("hub.size").alias("sy"), F.col("hub.root").alias("ry"))
+    sketches = materialise(sketched.join(members, "node").dropDuplicates(["node"]))
+    links = tested = roots = None  # roots: node -> root so far
+    for most in (0, *NEAREST):
+        state = published.withColumn("root", F.col("node")) if roots is None else published.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").drop("__n").withColumn("root", F.coalesce("root", "node"))
+        if most == 0:
+            # A star: each text against the bucket member that most of its blocks name.
+            hub = F.min(F.struct("node", "size")).alias("hub")
+            pairs = state.join(state.groupBy("key").agg(hub), "key").select(F.col("node").alias("x"), F.col("size").alias("sx"), F.col("hub.node").alias("y"), F.col("hub.size").alias("sy"))
+            pairs = pairs.where((F.col("x") != F.col("y")) & (100 * F.least("sx", "sy") >= PERCENT * F.greatest("sx", "sy"))).groupBy("x", "y").agg(F.count("*").alias("votes"))
+            pairs = pairs.groupBy("x").agg(F.max_by("y", F.struct("votes", "y")).alias("y"))
         else:
-            other = open_.select("key", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("root").alias("ry"))
-            pairs = open_.select("key", F.col("node").alias("x"), F.col("size").alias("sx"), "root").join(other, "key").where("x < y")
-        pairs = pairs.where((F.col("root") != F.col("ry")) & (100 * F.least("sx", "sy") >= PERCENT * F.greatest("sx", "sy")))
-        pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("votes"))
-        if hubs is not None:
-            best = pairs.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "y")), asc=False), 1, hubs).alias("best"))
-            pairs = best.select("x", F.explode("best").alias("b")).select("x", "b.y")
-        pairs = materialise(pairs.select("x", "y"))
+            pairs = _near(state, sketches, most).join(tested, ["x", "y"], "left_anti")
+        pairs = materialise(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        tested = pairs if tested is None else tested.unionByName(pairs)
         if not pairs.take(1):
-            if hubs is None:
-                break
             continue
         found = materialise(_verify(pairs, texts))
         links = found if links is None else links.unionByName(found)
@@ -215,6 +227,59 @@ def _counts(band: np.ndarray) -> np.ndarray:
     return np.diff(np.append(starts, len(band)))
 
 
+def _near(state: DataFrame, sketches: DataFrame, most: int | None) -> DataFrame:
+    """(x, y), x < y: pairs of a bucket in different components whose sizes and sketches allow a link; of each text and component the ``most`` nearest (None: all).
+
+    Buckets with the same least member are one, so texts with many blocks in common meet once. Only texts outside a bucket's largest component are compared, with all of the bucket, inside tasks of bounded blocks: pairs that the sketches rule out are never rows.
+    """
+    open_ = state.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("node").alias("bucket")).where("a <> b").select("key", "bucket")
+    met = materialise(state.join(open_, "key").select("bucket", "node", "size", "root").distinct())
+    counts = met.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    buckets = counts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k")).where("k > 1")
+    rows = met.join(buckets, "bucket").withColumn("outside", F.col("root") != F.col("main"))
+    rows = rows.withColumns({"na": F.ceil((F.col("all") - F.col("top")) / BLOCK[0]).cast("int"), "nb": F.ceil(F.col("all") / BLOCK[1]).cast("int")})
+    deal = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    # One row serves both sides where a bucket is one block, else each side's rows are dealt to its blocks.
+    one = (F.col("na") == 1) & (F.col("nb") == 1)
+    left = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(deal("na", 1).alias("i"), j.cast("int").alias("j"), F.lit(True).alias("a"), F.lit(False).alias("b")))).otherwise(F.array())
+    right = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda i: F.struct(i.cast("int").alias("i"), deal("nb", 2).alias("j"), F.lit(False).alias("a"), F.lit(True).alias("b")))
+    both = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("outside").alias("a"), F.lit(True).alias("b")))
+    # Small buckets share a task's group.
+    groups = max(1, met.count() // 5_000)
+    dealt = rows.select("bucket", "node", "size", "root", F.when(one, F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("bucket"), 1)).alias("g"), F.inline(F.when(one, both).otherwise(F.concat(left, right)))).join(sketches, "node")
+
+    nothing = pd.DataFrame({"x": [], "y": [], "r": [], "far": []}).astype("int64")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([nothing, *(one_bucket(part) for _, part in group.groupby("bucket", sort=False))])
+
+    def one_bucket(group: pd.DataFrame) -> pd.DataFrame:
+        size = min(map(len, group["sketch"]))
+        bits = np.stack([fold(z, size) for z in group["sketch"]])
+        node, n, root = (group[c].to_numpy(np.int64) for c in ("node", "size", "root"))
+        b = np.flatnonzero(group["b"].to_numpy(bool))
+        out = []
+        for x in np.flatnonzero(group["a"].to_numpy(bool)):
+            fits = b[(root[b] != root[x]) & (100 * np.minimum(n[b], n[x]) >= PERCENT * np.maximum(n[b], n[x]))]
+            far = np.bitwise_count(bits[fits] ^ bits[x]).sum(1, dtype=np.int64)
+            fits, far = fits[9 * far <= n[fits] + n[x]], far[9 * far <= n[fits] + n[x]]
+            if most is not None and len(fits) > most:
+                o = np.lexsort((node[fits], far, root[fits]))
+                fits, far = fits[o], far[o]
+                starts = np.flatnonzero(np.concatenate(([True], root[fits][1:] != root[fits][:-1])))
+                rank = np.arange(len(fits)) - np.repeat(starts, np.diff(np.append(starts, len(fits))))
+                fits, far = fits[rank < most], far[rank < most]
+            if len(fits):
+                out.append(np.stack((np.full(len(fits), node[x]), node[fits], root[fits], far), 1))
+        return pd.DataFrame(np.concatenate(out), columns=["x", "y", "r", "far"]) if out else nothing
+
+    near = dealt.groupBy("g", "i", "j").applyInPandas(compare, "x bigint, y bigint, r bigint, far bigint").distinct()
+    if most is not None:
+        best = near.groupBy("x", "r").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "y"))), 1, most).alias("best"))
+        near = best.select("x", F.explode("best").alias("p")).select("x", "p.y")
+    return near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def _packed_texts(rows: DataFrame, members: DataFrame) -> DataFrame:
     """(node, z): compressed texts of the classes that have candidates."""
 
