@@ -52,10 +52,13 @@ def search_stretches(words: list[np.ndarray], window: int = WINDOW, chunk: int =
     lengths = np.array([len(w) for w in words], np.int64)
     n = lengths - window + 1
     place = np.repeat(index.starts, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    one = np.concatenate([rolling(w, window) for w in words])
-    digest, at = np.unique(one, return_index=True)
+    hashes = np.zeros(index.n, np.int64)
+    inside = np.ones(index.n, bool)
+    inside[index.starts + lengths] = False
+    hashes[inside] = np.concatenate(words)
+    digest, at = np.unique(rolling(hashes, window)[place], return_index=True)
     first = place[at]  # the leftmost: places rise with the stretches
-    flat = np.concatenate([np.append(index.symbols(w), 0) for w in words])
+    flat = np.where(inside, index.symbols(hashes), 0)
     later = []
     for i in range(0, len(first), chunk):
         p = flat[first[i : i + chunk, None] + np.arange(window)]
