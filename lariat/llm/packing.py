@@ -56,10 +56,12 @@ def chunk_ids(path: str | None) -> ChunkIds:
 
 
 def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Tokenise and cut: pieces of ``capacity`` ids, then the rest. (doc_id, start, length, ids_crc32, doc_tokens)."""
+    """Tokenise and cut: pieces of ``capacity`` ids, then half a piece while the rest is longer, then the rest: pieces between a half and a whole sequence leave gaps that little fits. (doc_id, start, length, ids_crc32, doc_tokens)."""
     ship(docs.sparkSession)
     schema = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
 
+    half = capacity // 2
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = chunk_ids(path)
         end = np.array([end_id], "<u4").tobytes()
@@ -68,7 +70,10 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
             for i, t in zip(batch["doc_id"], batch["text"], strict=True):
                 b = b"".join(map(ids.__getitem__, (t or "").encode("utf-8", "surrogatepass").split())) + end
                 n = len(b) // 4
-                rows += [(i, s, min(capacity, n - s), zlib.crc32(b[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
+                cuts = [*range(0, n, capacity), n]
+                if half < cuts[-1] - cuts[-2] < capacity:
+                    cuts.insert(-1, cuts[-2] + half)
+                rows += [(i, s, e - s, zlib.crc32(b[4 * s : 4 * e]), n) for s, e in zip(cuts, cuts[1:], strict=False)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": batch["doc_id"].dtype})
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, f"doc_id {schema}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
@@ -173,7 +178,7 @@ def assignment(sizes: np.ndarray, patterns: list[tuple[np.ndarray, int]]) -> dic
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Documents longer than a sequence give full pieces and a rest; nothing else is cut. Null and empty texts are the end id alone; equal rows are packed each; empty input gives no rows. The driver holds the histogram (capacity / unit rows, times up to MAX_SALTS rank groups) and the patterns; ranks are dealt in salted groups, so no length gathers in one task.
+    Documents longer than half a sequence give full pieces, a half piece if the rest is longer, and the rest; nothing else is cut. Null and empty texts are the end id alone; equal rows are packed each; empty input gives no rows. The driver holds the histogram (capacity / unit rows, times up to MAX_SALTS rank groups) and the patterns; ranks are dealt in salted groups, so no length gathers in one task.
     """
     spark = docs.sparkSession
     pieces = materialise(token_pieces(docs, text, doc_id, path, capacity).withColumn("unit", F.ceil(F.col("length") / unit).cast("int")))
