@@ -7,11 +7,13 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 ARROW_ROWS = 1000
@@ -23,12 +25,10 @@ def materialise(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lariat-checkpoints"))
-    out = df.checkpoint(eager=True)
-    # Shuffle files of what the checkpoint replaces go once the driver has collected its garbage.
-    del df
+    # Shuffle files of what earlier checkpoints replaced go once the driver has collected its garbage.
     gc.collect()
     context._jvm.System.gc()
-    return out
+    return df.checkpoint(eager=True)
 
 
 def store(df: DataFrame) -> DataFrame:
@@ -40,6 +40,13 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def masked(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows as doc_id, text and column_0, column_1, ...: no name can clash with an operator's own; and the way back."""
+    others = [c for c in docs.columns if c not in (text, doc_id)]
+    names = {doc_id: "doc_id", text: "text"} | {c: f"column_{i}" for i, c in enumerate(others)}
+    return docs.select(*[docs[c].alias(n) for c, n in names.items()]), lambda out: out.select(*[out[names[c]].alias(c) for c in docs.columns])
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a session: they may not share the driver's import path. Arrow batches are kept small, for texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -55,6 +62,19 @@ def ship(spark: SparkSession) -> None:
     context._lariat_shipped = True
 
 
+def with_rids(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows with ``rid``, whose order is doc_id's. Where an id is missing or repeats, rows are numbered in the order of id (null first) and text's hash; rows equal in both in any order."""
+    ship(docs.sparkSession)
+    d = F.col(doc_id).cast("bigint")
+    odd = docs.agg(F.count("*").alias("n"), F.count(d).alias("k")).first()
+    if odd.n == odd.k and docs.select(d.alias("d")).distinct().count() == odd.n:
+        return docs.withColumn("rid", d)
+    ordered = docs.orderBy(d.asc_nulls_first(), F.xxhash64(text))
+    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    schema = ordered.schema.add("rid", LongType())
+    return materialise(docs.sparkSession.createDataFrame(numbered, schema))
+
+
 class WordHashes(dict):
     """word (bytes) -> signed 64-bit hash; forgets everything at ``limit`` words, so memory is bounded."""
 

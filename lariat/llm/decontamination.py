@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import WordHashes, alnum_words, hash_words, ship
+from lariat.llm.common import WordHashes, alnum_words, hash_words, masked, ship
 from lariat.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -156,14 +156,15 @@ def cut_words(text: str, spans: list[tuple[int, int]], word: re.Pattern = re.com
     return "".join([*out, text[at:]])
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows with every hit span cut out of the text; others stay as they are."""
-    found = find_contamination(docs, benchmark, text, keep=docs.columns)
+    plain, restore = masked(docs, text, doc_id)
+    found = find_contamination(plain, benchmark, keep=plain.columns)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut_words(t, [(s["first"], s["end"]) for s in x]) if len(x) else t for t, x in zip(texts, spans, strict=True)])
 
-    return found.select(*[F.when(F.col("n_hit") > 0, cut(text, "spans")).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns])
+    return restore(found.withColumn("text", F.when(F.col("n_hit") > 0, cut("text", "spans")).otherwise(F.col("text"))))
 
 

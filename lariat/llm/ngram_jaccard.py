@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import WordHashes, hash_words, materialise, mix, rolling, ship
+from lariat.llm.common import WordHashes, hash_words, masked, materialise, mix, rolling, ship, with_rids
 from lariat.llm.shared_keys import shared_keys
 
 SHINGLE = 5
@@ -148,39 +148,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     nodes = table.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.min("low").alias("low"))
     of_row = table.where("node is not null").groupBy("rid").agg(F.min("node").alias("node"), F.min("size").alias("size"))
 
-    def emit():
-        cache, seen = WordHashes(), set()
-
-        def keys_of(b: pd.DataFrame):
-            keys, ids, bands = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for r, t in zip(b["rid"], b["text"], strict=True):
-                s = shingle_set(t, cache)
-                if not len(s):
-                    continue
-                f = fingerprint(s)
-                if f in seen:  # a copy in this task adds nothing
-                    continue
-                if len(seen) >= 500_000:
-                    seen.clear()
-                seen.add(f)
-                k, band, _ = sketch_keys(s)
-                # The blocks in use ride along: the publishing rule needs how many there are.
-                keys.append(k)
-                ids.append(np.full(len(k), r, np.int64))
-                bands.append(band << 32 | np.repeat(_counts(band), _counts(band)))
-            return np.concatenate(keys), [np.concatenate(ids), np.concatenate(bands)]
-
-        return keys_of
-
-    total = (table.agg(F.sum("size").alias("s")).first().s or 0) * 0.5
-    shared = shared_keys(rows.select("rid", "text"), emit, ["rid", "band"], total, "rid")
-    # Publish the (size / 4 + 1) rarest blocks of each band; blocks that nobody shares are rarest and need no row.
-    known = shared.join(of_row, "rid").select("node", "size", F.shiftright("band", 32).alias("band"), F.col("band").bitwiseAND((1 << 32) - 1).alias("used"), "key", "n").dropDuplicates(["node", "band", "key"])
-    order = F.sort_array(F.collect_list(F.struct("n", "key")))
-    room = F.floor(F.col("size") / 4) + 1 - (F.col("used") - F.size("keys"))
-    lists = known.groupBy("node", "size", "band", "used").agg(order.alias("keys"))
-    published = lists.select("node", "size", F.explode(F.slice("keys", 1, F.greatest(F.lit(0), room).cast("int"))).alias("k")).select("node", "size", F.col("k.key").alias("key"))
-    published = materialise(published)
+    published = materialise(_publish(rows, of_row, (table.agg(F.sum("size").alias("s")).first().s or 0) * 0.5))
     alone = published.groupBy("key").agg((F.count("*") > 1).alias("met")).where("met").select("key")
     published = materialise(published.join(alone, "key"))
 
@@ -221,6 +189,42 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "low", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _publish(rows: DataFrame, of_row: DataFrame, total: float) -> DataFrame:
+    """(node, size, key): the (size / 4 + 1) rarest blocks of each class and band, without those that nobody shares."""
+
+    def emit():
+        cache, seen = WordHashes(), set()
+
+        def keys_of(b: pd.DataFrame):
+            keys, ids, bands = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for r, t in zip(b["rid"], b["text"], strict=True):
+                s = shingle_set(t, cache)
+                if not len(s):
+                    continue
+                f = fingerprint(s)
+                if f in seen:  # a copy in this task adds nothing
+                    continue
+                if len(seen) >= 500_000:
+                    seen.clear()
+                seen.add(f)
+                k, band, _ = sketch_keys(s)
+                # The blocks in use ride along: the publishing rule needs how many there are.
+                keys.append(k)
+                ids.append(np.full(len(k), r, np.int64))
+                bands.append(band << 32 | np.repeat(_counts(band), _counts(band)))
+            return np.concatenate(keys), [np.concatenate(ids), np.concatenate(bands)]
+
+        return keys_of
+
+    shared = shared_keys(rows.select("rid", "text"), emit, ["rid", "band"], total, "rid")
+    # Publish the (size / 4 + 1) rarest blocks of each band; blocks that nobody shares are rarest and need no row.
+    known = shared.join(of_row, "rid").select("node", "size", F.shiftright("band", 32).alias("band"), F.col("band").bitwiseAND((1 << 32) - 1).alias("used"), "key", "n").dropDuplicates(["node", "band", "key"])
+    order = F.sort_array(F.collect_list(F.struct("n", "key")))
+    room = F.floor(F.col("size") / 4) + 1 - (F.col("used") - F.size("keys"))
+    lists = known.groupBy("node", "size", "band", "used").agg(order.alias("keys"))
+    return lists.select("node", "size", F.explode(F.slice("keys", 1, F.greatest(F.lit(0), room).cast("int"))).alias("k")).select("node", "size", F.col("k.key").alias("key"))
+
+
 def _counts(band: np.ndarray) -> np.ndarray:
     """Lengths of the runs of equal bands."""
     starts = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
@@ -315,6 +319,9 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents whose id is their component's; all those without words stay."""
-    found = jaccard_components(docs, text, doc_id).select(F.col("doc_id").alias("__d"), F.col("component_id").alias("__c")).where("__d = __c").distinct()
-    return docs.join(found, F.col(doc_id) == F.col("__d"), "left_semi")
+    """One row of each component, the one with the smallest id; all rows without words stay. Rows with a missing or repeated id are numbered after their ids and judged each."""
+    plain, restore = masked(docs, text, doc_id)
+    rows = with_rids(plain, "text", "doc_id")
+    found = jaccard_components(rows.select("rid", "text"), doc_id="rid")
+    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("rid"))
+    return restore(rows.join(firsts, "rid", "left_semi"))

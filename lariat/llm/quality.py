@@ -40,7 +40,7 @@ def repeat_words(w: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns and a struct ``s`` of whole-text statistics. Null text counts as empty."""
+    """A struct ``row`` of the kept columns and a struct ``s`` of whole-text statistics. Null text counts as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(SPACE_WORD))
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -60,7 +60,7 @@ def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
         share(r["word_chars"], r["w"]["n_words"]).alias("mean_chars"), share(r["n_symbols"], r["w"]["n_words"]).alias("symbol_share"), share(r["l"]["n_dup_lines"], r["l"]["n_lines"]).alias("dup_line_share"),
         share(r["w"]["n_repeat_words"], r["w"]["n_words"]).alias("repeat_share"), share(r["n_upper"], r["word_chars"]).alias("upper_share"), share(r["n_shout"], r["w"]["n_words"]).alias("shout_share"), share(r["n_stops"], r["w"]["n_words"]).alias("stop_share"),
     )
-    return docs.select(*(docs.columns if keep is None else keep), let(raw, final).alias("s"))
+    return docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row"), let(raw, final).alias("s"))
 
 
 def base_failed(s: str = "s") -> Column:
@@ -107,8 +107,10 @@ def learn_rules(labelled: DataFrame, label: str = "quality", s: str = "s", thres
     Growing (two thirds of the rows, by hash): add the condition with the best FOIL gain while it gains. Pruning (the rest): keep the prefix with the best (bad - good) / (bad + good). A rule stays if its precision on the pruning rows, with two pseudo-rows, reaches ``precision`` and it covers ``min_cover`` of the bad rows there; else learning ends.
     """
     rows = labelled.where(F.col(label).isNotNull()).select(s, (F.col(label) == 0).alias("bad"), (F.pmod(F.xxhash64(s, label), F.lit(3)) > 0).alias("grow"))
-    grid = rows.agg(*[F.percentile_approx(F.col(f"{s}.{f}").cast("double"), [i / thresholds for i in range(1, thresholds)], 2000).alias(f) for f in FEATURES]).first()
-    cuts = {f: sorted(set(grid[f] or [])) for f in FEATURES}
+    grid = rows.agg(*[F.percentile_approx(F.col(f"{s}.{f}").cast("double"), [i / thresholds for i in range(thresholds + 1)], 2000).alias(f) for f in FEATURES]).first()
+    # Thresholds lie midway between neighbouring quantiles.
+    found = {f: sorted(set(grid[f] or [])) for f in FEATURES}
+    cuts = {f: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for f, v in found.items()}
     if not any(cuts.values()):
         return []
 
@@ -168,6 +170,11 @@ def learn_rules(labelled: DataFrame, label: str = "quality", s: str = "s", thres
     return rules
 
 
+def _learn(stats: DataFrame, labels: DataFrame, doc_id: str, **learning) -> list[Rule]:
+    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("quality"))
+    return learn_rules(stats.where(~base_failed()).join(known, F.col("row").getField(doc_id) == F.col("__id")), **learning)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, **learning) -> tuple[DataFrame, list[Rule]]:
     """The kept columns (default doc_id), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule (0: none), kept; and the rules.
 
@@ -175,8 +182,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     """
     keep = [doc_id] if keep is None else keep
     stats = materialise(statistics(docs, text, keep=sorted({*keep, doc_id}, key=docs.columns.index)))
-    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("quality"))
-    rules = learn_rules(stats.where(~base_failed()).join(known, F.col(doc_id) == F.col("__id")), **learning)
+    rules = _learn(stats, labels, doc_id, **learning)
     fired = verdict(rules)
-    out = stats.select(*keep, *[F.col(f"s.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed().alias("base_failed"), fired.alias("rule"), (~base_failed() & (fired == 0)).alias("kept"))
+    out = stats.select(*[F.col("row").getField(c).alias(c) for c in keep], *[F.col(f"s.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed().alias("base_failed"), fired.alias("rule"), (~base_failed() & (fired == 0)).alias("kept"))
     return out, rules
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **learning) -> DataFrame:
+    """The rows that neither the base rules nor the learned list reject, with all their columns."""
+    stats = materialise(statistics(docs, text))
+    rules = _learn(stats, labels, doc_id, **learning)
+    return stats.where(~base_failed() & (verdict(rules) == 0)).select("row.*")

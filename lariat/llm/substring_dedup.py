@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import WordHashes, hash_words, materialise, mix, rolling, ship, space_words
+from lariat.llm.common import WordHashes, hash_words, masked, materialise, mix, rolling, ship, space_words, with_rids
 from lariat.llm.decontamination import cut_words, spans_of
 from lariat.llm.fm_index import FMIndex
 from lariat.llm.shared_keys import shared_keys
@@ -152,19 +152,6 @@ def _squeezed(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return rows.select("rid", "text", *keep).mapInPandas(squeeze, f"rid bigint, z binary{more}")
 
 
-def with_rids(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """The rows with ``rid``, whose order is doc_id's. Where an id is missing or repeats, rows are numbered in the order of id (null first) and text's hash; rows equal in both in any order."""
-    ship(docs.sparkSession)
-    d = F.col(doc_id).cast("bigint")
-    odd = docs.agg(F.count("*").alias("n"), F.count(d).alias("k")).first()
-    if odd.n == odd.k and docs.select(d.alias("d")).distinct().count() == odd.n:
-        return docs.withColumn("rid", d)
-    ordered = docs.orderBy(d.asc_nulls_first(), F.xxhash64(text))
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    schema = ordered.schema.add("rid", "bigint")
-    return materialise(docs.sparkSession.createDataFrame(numbered, schema))
-
-
 def flags_of(n: int, spans) -> np.ndarray:
     edges = np.zeros(n + 1, np.int64)
     for s in spans if spans is not None else ():
@@ -201,8 +188,9 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """The rows with their repeated spans cut out of the text; a row that loses every word goes."""
-    rows = with_rids(docs, text, doc_id)
-    spans = repeated_spans(rows.select("rid", F.col(text).alias("text")), window)
+    plain, restore = masked(docs, text, doc_id)
+    rows = with_rids(plain, "text", "doc_id")
+    spans = repeated_spans(rows.select("rid", "text"), window)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -214,5 +202,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     joined = rows.join(spans, "rid", "left")
     hit = F.col("spans").isNotNull()
-    out = joined.select(*[F.when(hit, cut(F.col(text), "spans")).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns], hit.alias("__hit"))
-    return out.where(~F.col("__hit") | F.col(text).isNotNull()).drop("__hit")
+    out = joined.withColumns({"text": F.when(hit, cut("text", "spans")).otherwise(F.col("text")), "hit": hit})
+    return restore(out.where(~F.col("hit") | F.col("text").isNotNull()))

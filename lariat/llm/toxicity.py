@@ -34,7 +34,7 @@ def gram_keys(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     keys, packed = [], np.zeros(len(raw), np.int64)
     for k in range(1, ORDER + 1):
         packed = packed.copy()
-        packed[k - 1 :] |= raw[: len(raw) - k + 1] << (8 * (k - 1))
+        packed[k - 1 :] |= raw[: max(0, len(raw) - k + 1)] << (8 * (k - 1))
         keys.append(np.where((place >= k - 1) & (place > 0), k << TAG | packed, -1)[place > 0])
     return keys, word[place > 0]
 
