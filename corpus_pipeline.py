@@ -9,7 +9,7 @@ from lariat.llm.common import store
 from lariat.llm.decontamination import remove_contamination
 from lariat.llm.ngram_jaccard import keep_one
 from lariat.llm.packing import pack
-from lariat.llm.quality import quality_rules
+from lariat.llm.quality import keep_good
 from lariat.llm.substring_dedup import remove_repeats
 
 
@@ -19,8 +19,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned list reject go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules(docs, labels, keep=docs.columns)[0].where("kept").select(*docs.columns)
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
