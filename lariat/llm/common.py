@@ -78,7 +78,7 @@ def with_rids(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 class WordHashes(dict):
     """word (bytes) -> signed 64-bit hash; forgets everything at ``limit`` words, so memory is bounded."""
 
-    limit = 150_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

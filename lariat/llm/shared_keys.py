@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lariat.llm.common import ship
 
 #: Keys a range holds on average, and keys a task gathers before it sends its blocks.
-RANGE_KEYS = 800_000
-BLOCK_KEYS = 700_000
+RANGE_KEYS = 400_000
+BLOCK_KEYS = 250_000
 #: Keys that a bounded sample of rows finds this often skip the ranges: they are known to be shared, and only their place in the order depends on it.
 SAMPLE_ROWS = 8_000
 HOT_IN_SAMPLE = 8
