@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,26 +23,56 @@ ROWS_A_RANK = 50_000
 MAX_SALTS = 1024
 
 
+#: Latin-1 text without apostrophes, which the tokenizer splits into runs of letters, single digits and runs of the rest; for it, lower-casing is a matter of single letters. Other chunks are encoded as they are.
+_PLAIN = re.compile("[!-&(-~\u00a1-\u00ff]+")
+_PIECE = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff0-9\u00b2\u00b3\u00b9\u00bc-\u00be]+")
+
+
 class ChunkIds(dict):
     """White-space-free chunk (bytes) -> its ids as little-endian uint32 bytes. Exact: the tokenizer drops white space, and neither its normaliser nor its words reach across it. Forgets everything at ``limit`` chunks."""
 
-    limit = 300_000
+    limit = 600_000
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
+        self.words = _WordIds(self.encode)
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        ids = np.array(self.encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
+        text = chunk.decode("utf-8", "surrogatepass")
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            ids = b"".join(map(self.words.__getitem__, _PIECE.findall(text.lower())))
+        else:
+            ids = _encoded(self.encode, text)
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
 
 
+class _WordIds(dict):
+    """A word of the tokenizer's own splitting -> its ids."""
+
+    limit = 300_000
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        ids = self[word] = _encoded(self.encode, word)
+        return ids
+
+
+def _encoded(encode, text: str) -> bytes:
+    return np.array(encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 _CACHES: dict[str, ChunkIds] = {}
 
 
