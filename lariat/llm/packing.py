@@ -37,8 +37,9 @@ class ChunkIds(dict):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-        self.words = _WordIds(self.encode)
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode
+        self.words = _WordIds(tokenizer)
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.limit:
@@ -58,17 +59,22 @@ class _WordIds(dict):
 
     limit = 300_000
 
-    def __init__(self, encode):
+    def __init__(self, tokenizer):
         super().__init__()
-        self.encode = encode
+        self.merge = tokenizer.model.tokenize
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        ids = self[word] = _encoded(self.encode, word)
+        # The model alone: the word is lower-cased and split already, and its bytes become the vocabulary's characters here.
+        ids = self[word] = np.array([t.id for t in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))], "<u4").tobytes()
         return ids
 
 
+#: Byte-level vocabularies write a byte as itself if it is printable Latin-1, else as the next character from U+0100 on.
+_BYTES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF))}
+
+
 def _encoded(encode, text: str) -> bytes:
     return np.array(encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
