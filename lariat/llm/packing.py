@@ -31,7 +31,7 @@ _PIECE = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00
 class ChunkIds(dict):
     """White-space-free chunk (bytes) -> its ids as little-endian uint32 bytes. Exact: the tokenizer drops white space, and neither its normaliser nor its words reach across it. Forgets everything at ``limit`` chunks."""
 
-    limit = 600_000
+    limit = 150_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -57,7 +57,7 @@ class ChunkIds(dict):
 class _WordIds(dict):
     """A word of the tokenizer's own splitting -> its ids."""
 
-    limit = 300_000
+    limit = 150_000
 
     def __init__(self, tokenizer):
         super().__init__()
@@ -112,6 +112,9 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
                     cuts.insert(-1, cuts[-2] + half)
                 rows += [(i, s, e - s, zlib.crc32(b[4 * s : 4 * e]), n) for s, e in zip(cuts, cuts[1:], strict=False)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": batch["doc_id"].dtype})
+        # The worker may idle beside other stages: it keeps no ids.
+        ids.clear()
+        ids.words.clear()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, f"doc_id {schema}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
