@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 
-ARROW_ROWS = 1000
+#: An Arrow batch has at most so many rows and about so many bytes: the JVM keeps the largest buffers it ever used.
+ARROW_ROWS = 250
+ARROW_BYTES = 4 << 20
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -50,6 +52,7 @@ def masked(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Callable
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a session: they may not share the driver's import path. Arrow batches are kept small, for texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     context = spark.sparkContext
     if getattr(context, "_lariat_shipped", False):
         return
