@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import WordHashes, alnum_words, hash_words, masked, ship
+from lariat.llm.common import WordHashes, alnum_words, hash_words, lean, masked, ship
 from lariat.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -112,7 +112,7 @@ def _scan(docs: DataFrame, w: Windows, text: str, keep: list[str]) -> DataFrame:
 
     chosen = docs.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return chosen.mapInPandas(shards, f"{schema}, {_SCHEMA}")
+    return chosen.mapInPandas(lean(shards), f"{schema}, {_SCHEMA}")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

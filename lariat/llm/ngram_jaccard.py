@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import WordHashes, hash_words, masked, materialise, mix, rolling, ship, with_rids
+from lariat.llm.common import WordHashes, hash_words, lean, masked, materialise, mix, rolling, ship, with_rids
 from lariat.llm.shared_keys import shared_keys
 
 SHINGLE = 5
@@ -141,7 +141,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     unique = odd.n == odd.k and rows.select("id").distinct().count() == odd.n
     rid = F.col("id") if unique else F.xxhash64("id", "text")
     rows = rows.select("id", "text", rid.alias("rid"))
-    table = materialise(rows.mapInPandas(sizes, "id bigint, rid bigint, size bigint, f1 bigint, f2 bigint, sketch binary"))
+    table = materialise(rows.mapInPandas(lean(sizes), "id bigint, rid bigint, size bigint, f1 bigint, f2 bigint, sketch binary"))
     classes = table.where("size > 0").groupBy("size", "f1", "f2").agg(F.min("rid").alias("node"), F.min("id").alias("low"))
     sketched = table.select(F.col("rid").alias("node"), "sketch")
     table = materialise(table.join(classes, ["size", "f1", "f2"], "left").select("id", "rid", "size", "node", "low"))
@@ -291,7 +291,7 @@ def _packed_texts(rows: DataFrame, members: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"node": b["rid"], "z": [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in b["text"]]})
 
-    packed = rows.select("rid", "text").mapInPandas(squeeze, "node bigint, z binary")
+    packed = rows.select("rid", "text").mapInPandas(lean(squeeze), "node bigint, z binary")
     return materialise(packed.join(members, "node").dropDuplicates(["node"]))
 
 
@@ -315,7 +315,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     one = pairs.join(texts.select(F.col("node").alias("x"), F.col("z").alias("zx")), "x")
     two = one.join(texts.select(F.col("node").alias("y"), F.col("z").alias("zy")), "y")
-    return two.mapInPandas(check, "x bigint, y bigint")
+    return two.mapInPandas(lean(check), "x bigint, y bigint")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lariat.llm.common import materialise, ship
+from lariat.llm.common import lean, materialise, ship
 
 CAPACITY = 4096
 END_ID = 2
@@ -116,7 +116,7 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
         ids.clear()
         ids.words.clear()
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, f"doc_id {schema}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(lean(cut), f"doc_id {schema}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

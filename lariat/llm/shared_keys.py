@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import ship
+from lariat.llm.common import lean, ship
 
 #: Keys a range holds on average, and keys a task gathers before it sends its blocks.
 RANGE_KEYS = 400_000
@@ -74,7 +74,7 @@ def hot_keys(rows: DataFrame, emit: Callable[[], Emit], order: str, sample: int
             yield pd.DataFrame({"key": k.view(np.int64), "n": c})
 
     some = rows.where(F.pmod(F.xxhash64(order), F.lit(part)) == 0)
-    found = some.mapInPandas(keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_IN_SAMPLE)
+    found = some.mapInPandas(lean(keys), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_IN_SAMPLE)
     return np.sort(np.array([r.key for r in found.orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()], np.int64).view(np.uint64))
 
 
@@ -134,5 +134,5 @@ def shared_keys(rows: DataFrame, emit: Callable[[], Emit], payload: list[str], t
         return pd.DataFrame({"key": keys[keep].view(np.int64)} | {p: v[keep] for p, v in zip(payload, values, strict=True)} | {"n": n})
 
     schema = "key bigint, " + ", ".join(f"{p} bigint" for p in payload) + ", n bigint"
-    packed = rows.mapInPandas(blocks, "r bigint, k binary, " + ", ".join(f"{v} binary" for v in names))
+    packed = rows.mapInPandas(lean(blocks), "r bigint, k binary, " + ", ".join(f"{v} binary" for v in names))
     return packed.groupBy("r").applyInPandas(repeated, schema)

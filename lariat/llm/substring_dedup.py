@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import WordHashes, hash_words, masked, materialise, mix, rolling, ship, space_words, with_rids
+from lariat.llm.common import WordHashes, hash_words, lean, masked, materialise, mix, rolling, ship, space_words, with_rids
 from lariat.llm.decontamination import cut_words, spans_of
 from lariat.llm.fm_index import FMIndex
 from lariat.llm.shared_keys import shared_keys
@@ -131,7 +131,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                 out = pd.concat([out, pd.DataFrame({"rid": rid[s], "first": first, "end": first + window, "d1": digest.view(np.int64), "d2": second.view(np.int64), "head": True})])
             return out
 
-        packed = _squeezed(rows).join(wanted, "rid").mapInPandas(words_of, "shard bigint, rid bigint, first bigint, words binary")
+        packed = _squeezed(rows).join(wanted, "rid").mapInPandas(lean(words_of), "shard bigint, rid bigint, first bigint, words binary")
         found = materialise(packed.groupBy("shard").applyInPandas(search, "rid bigint, first bigint, end bigint, d1 bigint, d2 bigint, head boolean"))
         spans = spans.unionByName(found.where("not head").select("rid", "first", "end"))
         met = found.where("head")
@@ -149,7 +149,7 @@ def _squeezed(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
             yield b[["rid"]].assign(z=[zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in b["text"]], **{c: b[c] for c in keep})
 
     more = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select("rid", "text", *keep).mapInPandas(squeeze, f"rid bigint, z binary{more}")
+    return rows.select("rid", "text", *keep).mapInPandas(lean(squeeze), f"rid bigint, z binary{more}")
 
 
 def flags_of(n: int, spans) -> np.ndarray:
@@ -180,7 +180,7 @@ def dedup_digest(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
 
     joined = _squeezed(rows, ["doc_id"]).join(spans, "rid", "left")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "z", "spans").mapInPandas(digest, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, removed array<struct<first: bigint, end: bigint>>")
+    return joined.select("doc_id", "z", "spans").mapInPandas(lean(digest), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, removed array<struct<first: bigint, end: bigint>>")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
