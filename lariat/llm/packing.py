@@ -25,7 +25,9 @@ MAX_SALTS = 1024
 
 #: Latin-1 text without apostrophes, which the tokenizer splits into runs of letters, single digits and runs of the rest; for it, lower-casing is a matter of single letters. Other chunks are encoded as they are.
 _PLAIN = re.compile("[!-&(-~\u00a1-\u00ff]+")
-_PIECE = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff0-9\u00b2\u00b3\u00b9\u00bc-\u00be]+")
+#: The same with white space: a whole text that is split at once.
+_PLAIN_TEXT = re.compile("[\t-\r !-&(-~\u00a1-\u00ff]*")
+_PIECE = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\t-\r a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff0-9\u00b2\u00b3\u00b9\u00bc-\u00be]+")
 
 
 class ChunkIds(dict):
@@ -41,6 +43,12 @@ class ChunkIds(dict):
         self.encode = tokenizer.encode
         self.words = _WordIds(tokenizer)
 
+    def of_text(self, text: str) -> bytes:
+        """Plain texts go word by word, of which far fewer are distinct than chunks; others chunk by chunk."""
+        if "<|" not in text and _PLAIN_TEXT.fullmatch(text):
+            return b"".join(map(self.words.__getitem__, _PIECE.findall(text.lower())))
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
@@ -55,19 +63,24 @@ class ChunkIds(dict):
 
 
 class _WordIds(dict):
-    """A word of the tokenizer's own splitting -> its ids."""
+    """A word of the tokenizer's own splitting -> its ids. Two generations of ``limit`` words: what the newer lacks it takes over from the older, so frequent words stay and rare ones go."""
 
-    limit = 150_000
+    limit = 100_000
 
     def __init__(self, tokenizer):
         super().__init__()
         self.merge = tokenizer.model.tokenize
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        # The model alone: the word is lower-cased and split already, and its bytes become the vocabulary's characters here.
-        ids = self[word] = np.array([t.id for t in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))], "<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            # The model alone: the word is lower-cased and split already, and its bytes become the vocabulary's characters here.
+            ids = np.array([t.id for t in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))], "<u4").tobytes()
+        self[word] = ids
         return ids
 
 
@@ -105,7 +118,7 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
         for batch in batches:
             rows = []
             for i, t in zip(batch["doc_id"], batch["text"], strict=True):
-                b = b"".join(map(ids.__getitem__, (t or "").encode("utf-8", "surrogatepass").split())) + end
+                b = ids.of_text(t or "") + end
                 n = len(b) // 4
                 cuts = [*range(0, n, capacity), n]
                 if half < cuts[-1] - cuts[-2] < capacity:
@@ -115,6 +128,7 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
         # The worker may idle beside other stages: it keeps no ids.
         ids.clear()
         ids.words.clear()
+        ids.words.older.clear()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(lean(cut), f"doc_id {schema}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
