@@ -438,3 +438,17 @@ def test_pipeline(spark, corpus, edges):
     assert {r.doc_id for r in got.collect()} == set(before)
     for case in edges.values():
         assert corpus_pipeline.run(spark, case).count() >= 0
+
+
+def test_ids_of_plain_and_other_texts_are_the_tokenizers(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lariat.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing._WordIds, "limit", 3)  # generations turn over
+    ids, encode = packing.ChunkIds(path), Tokenizer.from_file(path).encode
+    texts = ["", "  ", "a\tb\r\nc\x0bd\x0ce", "A\n\n\nB...C 3.14 a_b #tag", "ÀÉß ¡hola! --- 12ab ½¾ª º×÷ÿ", "x\x1cy", "a\xa0b", "don't WON'T", "日本 tést", "<|endoftext|> a"]
+    for t in texts + texts:
+        assert ids.of_text(t) == packing._encoded(encode, t)
