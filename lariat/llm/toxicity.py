@@ -1,141 +1,49 @@
-"""Toxicity by class-conditional Kneser-Ney models of the characters in words: length-normalised toxic and ordinary log-likelihoods are compared; lower orders share one set of backoff counts, so rare expressions are judged by the parts that they share with known ones."""
+"""Toxicity by class-conditional Kneser-Ney models of the characters in words: length-normalised toxic and ordinary log-likelihoods are compared; the lowest order shares one set of backoff counts. All n-grams are kept, as tables: no model is held by a task or the driver."""
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import alnum_words, ship
+from lariat.llm.common import alnum_words, lean, materialise, mix, ship
 
 ORDER = 6
 SHARED = 1  # orders up to this have one set of counts for both classes
-#: Size of the model: so many n-grams with the highest counts over all training rows; rarer ones back off.
-NGRAMS = 400_000
 #: Bound of the calibration sample, two numbers a row.
 CALIBRATION = 20_000
 #: Labels of at most so many rows are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
-TAG = 48
-
-
-def gram_keys(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each order, the packed n-gram that ends at each character (-1: it would start before the word), and each character's word. A word is framed by the bytes 2 and 3; the first is never predicted."""
-    raw = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.int64)
+#: Rows are read in blocks that end at so many words or rows.
+BLOCK_WORDS, BLOCK_ROWS = 500_000, 20_000
+#: Log-ratios are summed as integers of 1 / SCALE, so that no order of rows matters.
+SCALE = 1 << 30
+#: Counts of a word or n-gram: in the final model's rows by class, and in the calibration rows among them.
+COUNTS = ("ordinary", "toxic", "cal_ordinary", "cal_toxic")
+#: The four distributions: of each class for the final scores (f) and without the calibration rows (c).
+MODELS = ("f_toxic", "f_ordinary", "c_toxic", "c_ordinary")
+
+
+def gram_keys(words: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each order, the hash of the n-gram that ends at each character and of its context (before the word's start both are void), and each character's word and place. A word is framed by the bytes 2 and 3; the first is never predicted."""
+    raw = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     starts = np.cumsum(lengths) - lengths
     word = np.repeat(np.arange(len(words)), lengths)
     place = np.arange(len(raw)) - starts[word]
-    keys, packed = [], np.zeros(len(raw), np.int64)
+    keys, contexts, h = [], [], np.zeros(len(raw), np.uint64)
     for k in range(1, ORDER + 1):
-        packed = packed.copy()
-        packed[k - 1 :] |= raw[: max(0, len(raw) - k + 1)] << (8 * (k - 1))
-        keys.append(np.where((place >= k - 1) & (place > 0), k << TAG | packed, -1)[place > 0])
-    return keys, word[place > 0]
-
-
-def context(keys: np.ndarray) -> np.ndarray:
-    """The n-gram without its last character, as a context of its order."""
-    order = keys >> TAG
-    return (order - 1) << TAG | (keys & ((1 << TAG) - 1)) >> 8
-
-
-def suffix(keys: np.ndarray) -> np.ndarray:
-    """The n-gram without its first character."""
-    order = keys >> TAG
-    return (order - 1) << TAG | keys & ((1 << 8 * (order - 1)) - 1)
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index in the sorted table, -1 where absent."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
-
-
-@dataclass
-class KneserNey:
-    """Differences of the two models: of log-probabilities by n-gram, of log backoff weights by context."""
-
-    keys: np.ndarray
-    gain: np.ndarray
-    contexts: np.ndarray
-    weight: np.ndarray
-    cut: tuple[float, float] = field(default=(0.0, 1.0))  # logistic: intercept, slope
-
-    def of_words(self, words: list[bytes]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        out = np.zeros(len(words))
-        if not words or not len(self.keys):
-            return out
-        keys, word = gram_keys(words)
-        open_ = np.arange(len(word))
-        for k in range(ORDER, 0, -1):
-            g = keys[k - 1][open_]
-            there = np.flatnonzero(g >= 0)
-            at = _find(self.keys, g[there])
-            hit = at >= 0
-            np.add.at(out, word[open_[there[hit]]], self.gain[at[hit]])
-            missed = there[~hit]
-            c = _find(self.contexts, context(g[missed]))
-            np.add.at(out, word[open_[missed[c >= 0]]], self.weight[c[c >= 0]])
-            left = np.ones(len(open_), bool)
-            left[there[hit]] = False
-            open_ = open_[left]
-        return out
-
-    def probability(self, mean: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.cut[0] + self.cut[1] * mean, -500, 500)))
-
-
-def build(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> KneserNey:
-    """Interpolated Kneser-Ney for both classes. The highest order, and n-grams at a word's start, use counts; others the number of distinct n-grams that extend them to the left, of both classes together up to SHARED."""
-    o = np.argsort(keys)
-    keys, counts = keys[o], [toxic[o].astype(float), ordinary[o].astype(float)]
-    if not len(keys):
-        return KneserNey(keys, np.empty(0), keys, np.empty(0))
-    order = keys >> TAG
-    ctx, ctx_of = np.unique(context(keys), return_inverse=True)
-    lower = _find(keys, suffix(keys))
-    at_start = (keys >> (8 * (order - 1))) & 0xFF == 2
-    both = counts[0] + counts[1]
-
-    def sums(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each n-gram's context: counts, and kinds that follow."""
-        return np.bincount(ctx_of, a, len(ctx))[ctx_of], np.bincount(ctx_of, a > 0, len(ctx))[ctx_of]
-
-    def discount(a: np.ndarray, here: np.ndarray) -> float:
-        ones, twos = (a[here] == 1).sum(), (a[here] == 2).sum()
-        return min(0.9, max(0.1, ones / max(1, ones + 2 * twos)))
-
-    logs, weights = [], []
-    for c in counts:
-        # Continuations: by this class above the shared orders, by both below.
-        up, any_up = (lower >= 0) & (c > 0), lower >= 0
-        left, shared_left = np.bincount(lower[up], minlength=len(keys)), np.bincount(lower[any_up], minlength=len(keys))
-        a = np.where(order <= SHARED, np.where(at_start, both, shared_left), np.where((order == ORDER) | at_start, c, left)).astype(float)
-        total, kinds = sums(a)
-        p, gamma = np.zeros(len(keys)), np.ones(len(ctx))
-        for k in range(1, ORDER + 1):
-            here = order == k
-            if k == 1:
-                p[here] = (a[here] + 0.5) / (a[here].sum() + 128)
-                continue
-            d = discount(a, here)
-            below = np.where(lower[here] >= 0, p[lower[here]], 1 / 256)
-            t, seen = np.maximum(total[here], 1), total[here] > 0
-            g = np.where(seen, d * kinds[here] / t, 1.0)
-            p[here] = np.where(seen, np.maximum(a[here] - d, 0) / t, 0) + g * below
-            gamma[ctx_of[here]] = g
-        logs.append(np.log(np.maximum(p, 1e-300)))
-        weights.append(np.log(np.maximum(gamma, 1e-300)))
-    return KneserNey(keys, logs[0] - logs[1], ctx, weights[0] - weights[1])
+        before, h = np.concatenate((h[:1], h[:-1])), h.copy()
+        h[k - 1 :] = mix(h[k - 1 :] * np.uint64(0x9E3779B97F4A7C15) + raw[: max(0, len(raw) - k + 1)] + np.uint64(k << 32))
+        keys.append(h[place > 0].view(np.int64))
+        contexts.append(before[place > 0].view(np.int64))
+    return keys, contexts, word[place > 0], place[place > 0]
 
 
 def calibrate(mean: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -155,105 +63,182 @@ def calibrate(mean: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(b[0]), float(max(0.0, b[1]))
 
 
-class WordScores(dict):
-    limit = 400_000
+class Codes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
-def mean_scores(texts: list[str | None], model: KneserNey, cache: WordScores) -> np.ndarray:
-    """Mean word score of each text; 0 without words."""
-    listed = [alnum_words(t) for t in texts]
-    out = np.zeros(len(texts))
-    for i, words in enumerate(listed):
-        if not words:
-            continue
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > cache.limit:
-                cache.clear()
-                new = list(set(words))
-            cache.update(zip(new, model.of_words(new).tolist(), strict=True))
-        out[i] = sum(map(cache.__getitem__, words)) / len(words)
-    return out
-
-
-def _known(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str) -> DataFrame:
-    """(bucket, text, y): labelled rows outside the held-out fifth; conflicting labels of an id read as toxic."""
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).cast("int").alias("y"))
+def _known(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, calibration: int) -> DataFrame:
+    """(id, text, y, cal) of every row: the label outside the held-out fifth (else null), conflicting labels of an id read as toxic; and whether the row is one of the calibration rows, bucket 1 in hash order up to ``calibration`` ids."""
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).cast("int").alias("y")).where(bucket(F.col("__id")) != 0)
     known = F.broadcast(known) if labels.count() <= BROADCAST_LABELS else known
-    b = bucket(F.col(doc_id))
-    return docs.where(b != 0).select(F.col(doc_id).alias("__doc"), F.col(text).alias("text"), b.alias("bucket")).join(known, F.col("__doc") == F.col("__id")).select("bucket", "text", "y")
+    h = F.xxhash64(F.col("id").cast("string"))
+    first = docs.select(F.col(doc_id).alias("id")).where(bucket(F.col("id")) == 1).join(known, F.col("id") == F.col("__id"), "left_semi").select(h.alias("h")).distinct().orderBy("h").limit(calibration)
+    last = first.agg(F.max("h")).first()[0]
+    cal = F.lit(False) if last is None else (bucket(F.col("id")) == 1) & (h <= F.lit(last)) & F.col("y").isNotNull()
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(known, F.col("id") == F.col("__id"), "left").select("id", "text", "y", F.coalesce(cal, F.lit(False)).alias("cal"))
 
 
 def bucket(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", ngrams: int = NGRAMS, calibration: int = CALIBRATION) -> KneserNey:
-    """Counts over every labelled row of buckets 2 to 4; a logistic cut from at most ``calibration`` rows of bucket 1, first in hash order; nothing of bucket 0. The driver gets ``ngrams`` counts and the calibration scores."""
-    ship(docs.sparkSession)
-    known = _known(docs, labels, text, doc_id, label)
-
-    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = [Counter(), Counter()]
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows of three kinds for each block of texts: its words (word, code in the block, counts), its documents (id, y of a calibration row, n words; code is the place), and one with all (word, document, count), packed."""
+    id_type = rows.schema["id"].dataType.simpleString()
+    columns = ["block", "code", "word", *COUNTS, "id", "n", "y", "packed"]
 
-        def flush() -> pd.DataFrame:
-            every = list(counts[0].keys() | counts[1].keys())
-            out = pd.DataFrame({"word": every, "ordinary": [counts[0][w] for w in every], "toxic": [counts[1][w] for w in every]})
-            for c in counts:
-                c.clear()
-            return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        texts: list[list[bytes]] = []
+        block, n_words = TaskContext.get().partitionId() << 32, 0
+
+        def flush() -> Iterator[pd.DataFrame]:
+            nonlocal block, n_words
+            if not texts:
+                return
+            b = pd.concat(held, ignore_index=True)
+            n = np.fromiter(map(len, texts), np.int64, len(texts))
+            codes = Codes()
+            flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum()))
+            pair, count = np.unique(flat << 32 | np.repeat(np.arange(len(texts)), n), return_counts=True)
+            code, doc = pair >> 32, pair & 0xFFFFFFFF
+            y, cal = b["y"].to_numpy(float, na_value=-1), b["cal"].to_numpy(bool)
+            kinds = {"ordinary": y == 0, "toxic": y > 0, "cal_ordinary": cal & (y == 0), "cal_toxic": cal & (y > 0)}
+            counts = {c: np.bincount(code, count * kinds[c][doc], len(codes)).astype(np.int64) for c in COUNTS}
+            packed = zlib.compress(np.bincount(code, minlength=len(codes)).astype("<u4").tobytes() + doc.astype("<u4").tobytes() + count.astype("<u4").tobytes(), 1)
+            every = list(codes)
+            for i in range(0, len(every), 50_000):
+                part = slice(i, i + 50_000)
+                yield pd.DataFrame({"block": block, "code": np.arange(len(every))[part], "word": every[part]} | {c: v[part] for c, v in counts.items()}).reindex(columns=columns)
+            yield pd.DataFrame({"block": block, "code": np.arange(len(texts)), "id": b["id"], "n": n, "y": np.where(cal, y, np.nan)}).reindex(columns=columns)
+            yield pd.DataFrame({"block": [block], "code": [-1], "packed": [packed]}).reindex(columns=columns)
+            held.clear()
+            texts.clear()
+            block, n_words = block + 1, 0
 
         for batch in batches:
-            for t, y in zip(batch["text"], batch["y"], strict=True):
-                counts[int(y > 0)].update(alnum_words(t))
-                if len(counts[0]) + len(counts[1]) > 200_000:
-                    yield flush()
-        yield flush()
+            held.append(batch[["id", "y", "cal"]])
+            new = [alnum_words(t) for t in batch["text"]]
+            texts.extend(new)
+            n_words += sum(map(len, new))
+            if n_words >= BLOCK_WORDS or len(texts) >= BLOCK_ROWS:
+                yield from flush()
+        yield from flush()
 
-    def grams_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 20_000):
-                part = batch.iloc[i : i + 20_000]
-                keys, word = gram_keys([bytes(w) for w in part["word"]])
-                flat, which = np.concatenate(keys), np.tile(word, ORDER)
-                flat, which = flat[flat >= 0], which[flat >= 0]
-                key, at = np.unique(flat, return_inverse=True)
-                yield pd.DataFrame({"key": key} | {c: np.bincount(at, part[c].to_numpy(float)[which], len(key)).astype(np.int64) for c in ("ordinary", "toxic")})
-
-    words = known.where("bucket > 1").select("text", "y").mapInPandas(words_of, "word binary, ordinary bigint, toxic bigint").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    grams = words.mapInPandas(grams_of, "key bigint, ordinary bigint, toxic bigint").groupBy("key").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    top = grams.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "key").limit(ngrams).toPandas()
-    model = build(top["key"].to_numpy(np.int64), top["toxic"].to_numpy(float), top["ordinary"].to_numpy(float))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordScores()
-        for batch in batches:
-            yield pd.DataFrame({"mean": mean_scores(list(batch["text"]), shared.value, cache), "y": batch["y"], "h": batch["h"]})
+    return materialise(rows.mapInPandas(lean(run), f"block bigint, code bigint, word binary, {', '.join(c + ' bigint' for c in COUNTS)}, id {id_type}, n bigint, y double, packed binary"))
 
-    scored = known.where("bucket = 1").select("text", "y", F.xxhash64("text").alias("h")).mapInPandas(scores, "mean double, y int, h bigint").orderBy("h", "mean", "y").limit(calibration).toPandas()
-    model.cut = calibrate(scored["mean"].to_numpy(float), (scored["y"] > 0).to_numpy(float))
-    return model
 
+def _grams(words: DataFrame) -> DataFrame:
+    """Every n-gram of the words with its counts, context and suffix."""
 
-def score(docs: DataFrame, model: KneserNey, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (default doc_id), mean (log-likelihood ratio a word) and score (0 to 1) of every row. Texts without words, null ones too, have mean 0."""
-    ship(docs.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, contexts, word, place = gram_keys([bytes(w) for w in batch["word"]])
+            for k in range(1, ORDER + 1):
+                there = np.flatnonzero(place >= k - 1)
+                key, first, at = np.unique(keys[k - 1][there], return_index=True, return_inverse=True)
+                one = there[first]
+                yield pd.DataFrame(
+                    {"order": np.full(len(key), k, np.int32), "key": key, "context": contexts[k - 1][one] if k > 1 else 0, "suffix": keys[k - 2][one] if k > 1 else 0, "start": place[one] == k - 1}
+                    | {c: np.bincount(at, batch[c].to_numpy(float)[word[there]], len(key)).astype(np.int64) for c in COUNTS}
+                )
+
+    names = ["order", "key", "context", "suffix", "start"]
+    grams = words.mapInPandas(run, f"order int, key bigint, context bigint, suffix bigint, start boolean, {', '.join(c + ' bigint' for c in COUNTS)}")
+    return materialise(grams.groupBy(*names).agg(*[F.sum(c).alias(c) for c in COUNTS]))
+
+
+def log_ratios(grams: DataFrame) -> DataFrame:
+    """(key, f, c): log P(character | context, toxic) - log P(... | ordinary) of every n-gram above the first order, in 1 / SCALE, by interpolated Kneser-Ney over all n-grams.
+
+    The highest order, and n-grams at a word's start, use counts; others the number of distinct n-grams that extend them to the left, of both classes together up to SHARED. An n-gram that no counted row has gets what it would by backing off.
+    """
+    both = {"f": F.col("toxic") + F.col("ordinary"), "c": F.col("toxic") - F.col("cal_toxic") + F.col("ordinary") - F.col("cal_ordinary")}
+    raw = {"f_toxic": F.col("toxic"), "f_ordinary": F.col("ordinary"), "c_toxic": F.col("toxic") - F.col("cal_toxic"), "c_ordinary": F.col("ordinary") - F.col("cal_ordinary")}
+    left = grams.where("order > 1").groupBy(F.col("suffix").alias("key")).agg(*[F.sum((e > 0).cast("bigint")).alias(f"left_{m}") for m, e in (raw | both).items()])
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    a = {m: F.when(F.col("order") <= SHARED, F.when(F.col("start"), both[m[0]]).otherwise(none(f"left_{m[0]}"))).when((F.col("order") == ORDER) | F.col("start"), e).otherwise(none(f"left_{m}")) for m, e in raw.items()}
+    table = grams.join(left, "key", "left").select("order", "key", "context", "suffix", *[e.alias(m) for m, e in a.items()])
+    sums = table.groupBy("context").agg(*[F.sum(m).alias(f"{m}_total") for m in MODELS], *[F.sum((F.col(m) > 0).cast("bigint")).alias(f"{m}_kinds") for m in MODELS])
+    table = materialise(table.join(sums, "context"))
+    stats = {r.order: r for r in table.groupBy("order").agg(*[F.sum(F.when(F.col(m) == v, 1).otherwise(0)).alias(f"{m}_{v}") for m in MODELS for v in (1, 2)], *[F.sum(m).alias(f"{m}_sum") for m in MODELS]).collect()}
+
+    level, levels = None, []
+    for k in range(1, ORDER + 1):
+        here = table.where(F.col("order") == k)
+        if k not in stats:
+            break
+        if k == 1:
+            level = here.select("key", *[((F.col(m) + 0.5) / (stats[1][f"{m}_sum"] + 128)).alias(m) for m in MODELS])
+            continue
+        p = []
+        for m in MODELS:
+            ones, twos = stats[k][f"{m}_1"], stats[k][f"{m}_2"]
+            d = min(0.9, max(0.1, ones / max(1, ones + 2 * twos)))
+            total = F.col(f"{m}_total")
+            p.append(F.when(total > 0, F.greatest(F.col(m) - d, F.lit(0.0)) / total + F.lit(d) * F.col(f"{m}_kinds") / total * F.col(f"below_{m}")).otherwise(F.col(f"below_{m}")).alias(m))
+        below = level.select(F.col("key").alias("suffix"), *[F.col(m).alias(f"below_{m}") for m in MODELS])
+        level = materialise(here.join(below, "suffix").select("key", *p))
+        levels.append(level)
+    ratio = lambda m: F.round((F.log(f"{m}_toxic") - F.log(f"{m}_ordinary")) * SCALE).cast("bigint").alias(m)
+    out = [x.select("key", ratio("f"), ratio("c")) for x in levels] or [grams.select("key", F.lit(0).cast("bigint").alias("f"), F.lit(0).cast("bigint").alias("c"))]
+    for x in out[1:]:
+        out[0] = out[0].unionByName(x)
+    return out[0]
+
+
+def _word_scores(words: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(word, f, c): sums of the log-ratios of each word's characters, each with the longest n-gram that ends at it. Words go by number meanwhile: a long one has many rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordScores()
         for batch in batches:
-            mean = mean_scores(list(batch["__text"]), shared.value, cache)
-            yield batch[keep].assign(mean=mean, score=shared.value.probability(mean))
+            keys, _, word, place = gram_keys([bytes(w) for w in batch["word"]])
+            key = np.stack(keys)[np.minimum(place, ORDER - 1), np.arange(len(place))]
+            yield pd.DataFrame({"number": batch["number"].to_numpy(np.int64)[word], "key": key})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInPandas(run, f"{schema}, mean double, score double")
+    sums = words.select("number", "word").mapInPandas(run, "number bigint, key bigint").join(ratios, "key").groupBy("number").agg(F.sum("f").alias("f"), F.sum("c").alias("c"))
+    return words.select("number", "word").join(sums, "number").drop("number")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **training) -> DataFrame:
-    """doc_id, held_out, mean, score, predicted for every row. A null doc_id is never held out. Without labels every row gets the same score below a half; equal rows get equal scores; extra columns are ignored."""
-    model = train(docs, labels, text, doc_id, **training)
-    out = score(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)
-    return out.select("doc_id", F.coalesce(bucket(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "mean", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def word_means(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, calibration: int) -> DataFrame:
+    """(id, y, f, c) of every row: its mean log-ratio a word by the final model and by the one without the calibration rows, whose y alone is not null."""
+    ship(docs.sparkSession)
+    blocks = _blocks(_known(docs, labels, text, doc_id, label, calibration))
+    words = materialise(blocks.where("word is not null").groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]).withColumn("number", F.monotonically_increasing_id()))
+    scores = _word_scores(words, log_ratios(_grams(words)))
+    nothing = [F.lit(None).cast("bigint").alias(c) for c in ("f", "c")]
+    parts = blocks.where("word is not null").select("block", "code", "word").join(scores, "word")
+    parts = parts.select("block", "code", F.lit(None).cast(docs.schema[doc_id].dataType).alias("id"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("binary").alias("packed"), "f", "c")
+    parts = parts.unionByName(blocks.where("word is null").select("block", "code", "id", "n", "y", "packed", *nothing))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        plain = zlib.decompress(bytes(group.loc[group["code"] < 0, "packed"].iloc[0]))
+        known = group[group["f"].notna()].sort_values("code")
+        texts = group[group["n"].notna()].sort_values("code")
+        k = len(known)
+        u = np.frombuffer(plain, "<u4").astype(np.int64)
+        doc, count = u[k:].reshape(2, -1)
+        out = {"id": texts["id"], "y": texts["y"]}
+        for c in ("f", "c"):
+            total = np.zeros(len(texts), np.int64)
+            np.add.at(total, doc, np.repeat(known[c].to_numpy(np.int64), u[:k]) * count)
+            out[c] = total / SCALE / np.maximum(1, texts["n"].to_numpy(np.int64))
+        return pd.DataFrame(out)
+
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    return materialise(parts.groupBy("block").applyInPandas(run, f"id {id_type}, y double, f double, c double"))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", calibration: int = CALIBRATION) -> DataFrame:
+    """doc_id, held_out, mean (log-likelihood ratio a word), score (0 to 1), predicted for every row. Texts without words, null ones too, have mean 0. A null doc_id is never held out. Without labels every row gets the same score below a half; equal texts get equal scores; extra columns are ignored.
+
+    All labelled rows of buckets 2 to 4 are counted, bucket 1 calibrates; nothing of bucket 0.
+    """
+    out = word_means(docs, labels, text, doc_id, label, calibration)
+    sample = out.where("y is not null").orderBy(F.xxhash64(F.col("id").cast("string")), "c", "y").limit(calibration).select("c", "y").toPandas()
+    a, b = calibrate(sample["c"].to_numpy(float), (sample["y"] > 0).to_numpy(float))
+    mean = F.col("c")
+    out = out.select(F.col("id").alias("doc_id"), F.coalesce(bucket(F.col("id")) == 0, F.lit(False)).alias("held_out"), mean.alias("mean"), (1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), a + b * mean))))).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

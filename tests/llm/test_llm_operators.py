@@ -347,6 +347,26 @@ def test_op9_ignores_held_out_labels(spark, corpus):
     assert all(r.predicted == 0 for r in score_toxicity(docs, labels.where("false")).collect())
 
 
+def test_op9_keeps_rare_ngrams(spark):
+    """More n-grams than any fixed model: toxic words that were seen once must not go for the frequent ordinary ones."""
+    from lariat.llm.toxicity import score_toxicity
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    plain, toxic = [word() for _ in range(120_000)], [word() for _ in range(2_000)]
+    ordinary = [" ".join(plain[i : i + 400]) for i in range(0, len(plain), 400) for _ in range(4)]
+    bad = [" ".join(toxic[i : i + 10]) for i in range(0, len(toxic), 10)]
+    ids = iter(range(10**6))
+    part = lambda keep: next(i for i in ids if keep(zlib.crc32(str(i).encode()) % 5))
+    rows = [(part(lambda b: b > 0), t, 0) for t in ordinary] + [(part(lambda b: b > 1), t, 1) for t in bad] + [(part(lambda b: b == 1), t, 1) for t in bad[::4]]
+    held = [(part(lambda b: b == 0), t, 1) for t in bad[1::4]]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows + held], "doc_id bigint, text string")
+    got = by_id(score_toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")))
+    # A word that was seen once is nearly certain under its class: a few nats a character for all of its ten characters.
+    assert all(got[i].held_out and got[i].predicted == 1 for i, _, _ in held)
+    assert min(got[i].mean for i, _, _ in held) > 10
+
+
 def test_op10(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer
