@@ -113,12 +113,12 @@ def connected(edges: DataFrame) -> DataFrame:
         edges = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row; component_id is the smallest doc_id reachable by links, n_links how many verified links the row's class has in the joined forest.
+def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for every row; component_id is the smallest doc_id reachable by links, n_links how many other rows link with the row, its copies among them. Without ``links`` n_links is null, and pairs inside a component that others have joined are not verified.
 
     Texts without words have no shingles and link with nothing. Equal sets (exact copies, and repeated rows) are one class, joined once. doc_id must be integral; rows with a null doc_id are members of classes like others, and a class of null ids alone has a null component. If an id repeats with different texts, hashes stand in for ids while joining.
 
-    Nothing about all documents reaches the driver. A block that one class alone holds goes no further; each class publishes its rarest blocks only, as many as exactness needs, so a passage or line that many texts share yields candidates only where texts have little else. A bucket is first tried as a star around one member; then texts of different components are compared by sketch, and the nearest are verified until none is left.
+    Nothing about all documents reaches the driver. A block that one class alone holds goes no further; each class publishes its rarest blocks only, as many as exactness needs, so a passage or line that many texts share yields candidates only where texts have little else. For n_links all pairs of a bucket are compared by sketch, and all that it allows are verified. For components alone a bucket is first tried as a star around one member; then texts of different components are compared by sketch, and the nearest are verified until none is left.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -145,7 +145,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     classes = table.where("size > 0").groupBy("size", "f1", "f2").agg(F.min("rid").alias("node"), F.min("id").alias("low"))
     sketched = table.select(F.col("rid").alias("node"), "sketch")
     table = materialise(table.join(classes, ["size", "f1", "f2"], "left").select("id", "rid", "size", "node", "low"))
-    nodes = table.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.min("low").alias("low"))
+    nodes = table.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.min("low").alias("low"), F.count("*").alias("rows"))
     of_row = table.where("node is not null").groupBy("rid").agg(F.min("node").alias("node"), F.min("size").alias("size"))
 
     published = materialise(_publish(rows, of_row, (table.agg(F.sum("size").alias("s")).first().s or 0) * 0.5))
@@ -155,8 +155,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     members = published.select("node").distinct()
     texts = _packed_texts(rows, members)
     sketches = materialise(sketched.join(members, "node").dropDuplicates(["node"]))
-    links = tested = roots = None  # roots: node -> root so far
-    for most in (0, *NEAREST):
+    linked = tested = roots = None  # roots: node -> root so far
+    for most in (None,) if links else (0, *NEAREST):
         state = published.withColumn("root", F.col("node")) if roots is None else published.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").drop("__n").withColumn("root", F.coalesce("root", "node"))
         if most == 0:
             # A star: each text against the bucket member that most of its blocks name.
@@ -165,13 +165,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             pairs = pairs.where((F.col("x") != F.col("y")) & (100 * F.least("sx", "sy") >= PERCENT * F.greatest("sx", "sy"))).groupBy("x", "y").agg(F.count("*").alias("votes"))
             pairs = pairs.groupBy("x").agg(F.max_by("y", F.struct("votes", "y")).alias("y"))
         else:
-            pairs = _near(state, sketches, most).join(tested, ["x", "y"], "left_anti")
+            pairs = _near(state, sketches, most)
+            pairs = pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti")
         pairs = materialise(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not pairs.take(1):
             continue
         found = materialise(_verify(pairs, texts))
-        links = found if links is None else links.unionByName(found)
+        linked = found if linked is None else linked.unionByName(found)
         if not found.take(1):
             continue
         # Roots so far stand for the links so far.
@@ -179,14 +180,22 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         if roots is not None:
             edges = edges.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = connected(edges)
-    if roots is None:
-        return table.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
-    every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    component = every.join(nodes, "node").groupBy("root").agg(F.min("low").alias("component"))
-    placed = every.join(component, "root").select("node", "component")
-    ends = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    out = table.join(placed.join(ends, "node", "left").withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "low", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    placed = nodes.select("node", F.lit(None).cast("bigint").alias("component"))
+    if roots is not None:
+        every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+        component = every.join(nodes, "node").groupBy("root").agg(F.min("low").alias("component"))
+        placed = every.join(component, "root").select("node", "component")
+    n_links = F.lit(None).cast("bigint")
+    if links:
+        # Of a class of n rows each links with the n - 1 others, and with all rows of the classes that its class links with.
+        n_links = F.coalesce("n_links", F.lit(0)).cast("bigint")
+        ends = nodes.select("node", (F.col("rows") - 1).alias("n"))
+        if linked is not None:
+            both = linked.select("x", "y").unionByName(linked.select(F.col("y").alias("x"), F.col("x").alias("y")))
+            ends = ends.unionByName(both.join(nodes.select(F.col("node").alias("y"), F.col("rows").alias("n")), "y").select(F.col("x").alias("node"), "n"))
+        placed = ends.groupBy("node").agg(F.sum("n").alias("n_links")).join(placed, "node", "left")
+    out = table.join(placed.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "low", "id").alias("component_id"), n_links.alias("n_links"))
 
 
 def _publish(rows: DataFrame, of_row: DataFrame, total: float) -> DataFrame:
@@ -322,6 +331,6 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """One row of each component, the one with the smallest id; all rows without words stay. Rows with a missing or repeated id are numbered after their ids and judged each."""
     plain, restore = masked(docs, text, doc_id)
     rows = with_rids(plain, "text", "doc_id")
-    found = jaccard_components(rows.select("rid", "text"), doc_id="rid")
+    found = jaccard_components(rows.select("rid", "text"), doc_id="rid", links=False)
     firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("rid"))
     return restore(rows.join(firsts, "rid", "left_semi"))

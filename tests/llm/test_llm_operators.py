@@ -328,6 +328,23 @@ def test_op8_removal(spark, corpus):
             assert len(space(kept[i].text)) == n - gone and (gone or kept[i].text == texts[i])
 
 
+def test_op6_links(spark, corpus):
+    """n_links against all pairs: a triangle and a clique of near copies, exact copies, and the corpus."""
+    from lariat.llm import ngram_jaccard as J
+
+    _, texts, _ = corpus
+    base = [f"w{i}" for i in range(200)]
+    given = {i: t for i, t in texts.items() if i < 130}
+    for k in range(12):
+        given[1000 + k] = " ".join([*base[: 15 * k], f"new{k}", *base[15 * k + 1 :]])
+    given |= {2000 + k: given[1000] for k in range(5)}
+    cache = J.WordHashes()
+    sets = {i: set(J.shingle_set(t, cache).tolist()) for i, t in given.items()}
+    want = {i: sum(j != i and bool(a) and 5 * len(a & b) >= 4 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    got = by_id(J.jaccard_components(spark.createDataFrame(list(given.items()), "doc_id bigint, text string")))
+    assert want[2000] == 16 and {i: r.n_links for i, r in got.items()} == want
+
+
 def test_op9(spark):
     d = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in q.op9_toxicity(spark, d).collect()}
