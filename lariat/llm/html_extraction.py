@@ -31,11 +31,13 @@ HINTS = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related recommended remark replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+# Text of an article whatever its class: hints do not drop these inside a container named as content.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6".split())
 GOOD = frozenset("article articlebody body content entry main post story text".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "label", "out", "link", "good", "chars", "linked", "prose", "depth")
+    __slots__ = ("tag", "parent", "label", "out", "link", "good", "within", "chars", "linked", "prose", "depth")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent = tag, parent
@@ -43,6 +45,7 @@ class Node:
         self.link = bool(parent and parent.link) or tag == "a"
         self.chars = self.linked = self.prose = 0
         self.label, self.good = tag, tag in ("article", "main")
+        self.within = bool(parent and (parent.within or parent.good))
         self.out = bool(parent and parent.out) or tag in DROPPED
         if attributes and "=" in attributes:
             a = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
@@ -51,7 +54,7 @@ class Node:
                 self.label += "." + ".".join(sorted({re.sub(r"\d+", "#", c) for c in classes}))
             names = {p for c in [*classes, a.get("id", "").lower(), a.get("itemprop", "").lower()] for p in (c, *re.split(r"[-_\s:]+", c))}
             if tag not in ("html", "body", "article", "main"):
-                self.out |= bool(names & HINTS) or a.get("role", "").lower() in ROLES
+                self.out |= bool(names & HINTS) and not (self.within and tag in TEXTUAL) or a.get("role", "").lower() in ROLES
             elif names & {"comment", "comments", "reply"} and tag == "article":
                 self.out = True
             self.good |= bool(names & GOOD) or a.get("role", "").lower() in ("main", "article")
@@ -141,13 +144,38 @@ def containers(pieces: list[tuple[Node, str, int]]) -> list[Node]:
 
 
 def best_container(found: list[Node]) -> Node | None:
-    """The deepest container with most of the page's prose; one named as content wins with half of it."""
+    """The deepest container that loses nothing but links: of all text that the containers named as content hold where one of them has half of the page's weight, else of the page's."""
     if not found:
         return None
     weigh = lambda c: (c.prose + 0.1 * (c.chars - c.linked)) * (1 - 0.5 * c.linked / max(1, c.chars))
     top = max(map(weigh, found))
-    named = [c for c in found if c.good and weigh(c) >= 0.5 * top]
-    return max(named or [c for c in found if weigh(c) >= 0.85 * top], key=lambda c: (c.depth, weigh(c)))
+    best = max(found, key=lambda c: (c.chars - c.linked, -c.depth))
+    if any(c.good and weigh(c) >= 0.5 * top for c in found):
+        # The least container around all outermost ones with prose.
+        outer = [c for c in found if c.good and not c.within and c.prose]
+        outer = outer or [c for c in found if c.good and not c.within]
+        lines = []
+        for c in outer:
+            line, up = [], c
+            while up is not None:
+                line.append(up)
+                up = up.parent
+            lines.append(line[::-1])
+        for level in zip(*lines, strict=False):
+            if any(n is not level[0] for n in level):
+                break
+            if level[0].tag in CONTAINERS or level[0].parent is None:
+                best = level[0]
+    ids, whole = {id(best)}, best.chars - best.linked
+    inside = [best]
+    for c in sorted(found, key=lambda c: c.depth):
+        up = c.parent
+        while up is not None and id(up) not in ids and up.depth > best.depth:
+            up = up.parent
+        if up is not None and id(up) in ids:
+            ids.add(id(c))
+            inside.append(c)
+    return max((c for c in inside if c.chars - c.linked == whole), key=lambda c: (c.depth, c.chars))
 
 
 def render(pieces: list[tuple[Node, str, int]], chosen: set[int] | None) -> str:
@@ -178,10 +206,10 @@ def propose(html: str | None) -> tuple[str | None, float]:
 
 
 def extract(html: str | None, path: str | None) -> str:
-    """Text by the host's path; a page without it, or without text there, goes by its own best container."""
+    """Text by the host's path, where it holds more than links; a page without it, or without text there, goes by its own best container."""
     pieces = parse(html or "")
     found = containers(pieces)
-    chosen = [c for c in found if path is not None and c.chars and c.path() == path]
+    chosen = [c for c in found if path is not None and c.chars > c.linked and c.path() == path]
     if not chosen:
         best = best_container(found)
         chosen = [best] if best is not None else []

@@ -111,6 +111,22 @@ def test_op3(spark, tmp_path):
     assert (got[6], got[7], got[8], got[9]) == ("", "", "bare text only", "Other layout, same host, with words.")
 
 
+def test_op3_keeps_the_whole_article():
+    from lariat.llm.html_extraction import extract, propose
+
+    short, long = "Short part of the text. " * 8, "Longer part of the text. " * 12
+    a, b = short.strip(), long.strip()
+    nav = "<div class='menu'>menu</div><div><a href='/'>Home</a></div>"
+    for page, want in (
+        (f"<body>{nav}<article><h1>T</h1><div class='content'><p>{a}</p></div></article></body>", ["T", a]),
+        (f"<body>{nav}<article><div class='post-intro'><p>{a}</p></div><div class='post-body'><p>{b}</p></div></article></body>", [a, b]),
+        (f"<body>{nav}<div><div><p>{b}</p><p>{b}</p><p>{b}</p></div><div><p>{a}</p></div></div></body>", [b, b, b, a]),
+        (f"<body>{nav}<div><article><p>{a}</p></article><article><p>{b}</p></article></div></body>", [a, b]),
+        (f"<body>{nav}<article><h2 class='section-header'>Head</h2><p>{a}</p><p class='related-work'>{b}</p><div class='related'>no</div></article></body>", ["Head", a, b]),
+    ):
+        assert extract(page, propose(page)[0]) == "\n\n".join(want)
+
+
 def test_op3_driver_pages(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
     for r in q.op3_html_text(spark, "/root/testdata/sf0.001").collect():
