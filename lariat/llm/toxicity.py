@@ -234,11 +234,11 @@ def word_means(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", calibration: int = CALIBRATION) -> DataFrame:
     """doc_id, held_out, mean (log-likelihood ratio a word), score (0 to 1), predicted for every row. Texts without words, null ones too, have mean 0. A null doc_id is never held out. Without labels every row gets the same score below a half; equal texts get equal scores; extra columns are ignored.
 
-    All labelled rows of buckets 2 to 4 are counted, bucket 1 calibrates; nothing of bucket 0.
+    All labelled rows of buckets 1 to 4 are counted, nothing of bucket 0. The cut is fitted on calibration rows of bucket 1 under a model without them.
     """
     out = word_means(docs, labels, text, doc_id, label, calibration)
     sample = out.where("y is not null").orderBy(F.xxhash64(F.col("id").cast("string")), "c", "y").limit(calibration).select("c", "y").toPandas()
     a, b = calibrate(sample["c"].to_numpy(float), (sample["y"] > 0).to_numpy(float))
-    mean = F.col("c")
+    mean = F.col("f")
     out = out.select(F.col("id").alias("doc_id"), F.coalesce(bucket(F.col("id")) == 0, F.lit(False)).alias("held_out"), mean.alias("mean"), (1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), a + b * mean))))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

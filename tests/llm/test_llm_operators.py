@@ -400,6 +400,20 @@ def test_op9_keeps_rare_ngrams(spark):
     assert min(got[i].mean for i, _, _ in held) > 10
 
 
+def test_op9_counts_the_calibration_rows(spark):
+    """An expression that only bucket 1 has is known to the final model."""
+    from lariat.llm.toxicity import score_toxicity
+
+    by = collections.defaultdict(list)
+    for i in range(2000):
+        by[zlib.crc32(str(i).encode()) % 5].append(i)
+    rows = [(i, "plain talk about weather", 0) for b in (1, 2, 3, 4) for i in by[b][:60]] + [(i, "vile insult here", 1) for b in (1, 2, 3, 4) for i in by[b][60:80]]
+    rows += [(i, "qxzkwj", 1) for i in by[1][80:100]]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(by[0][0], "qxzkwj")], "doc_id bigint, text string")
+    got = by_id(score_toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")))
+    assert got[by[0][0]].held_out and got[by[0][0]].mean > 3
+
+
 def test_op10(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer
