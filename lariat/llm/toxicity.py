@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import alnum_words, lean, materialise, mix, ship
+from lariat.llm.common import alnum_words, lean, mix, ship, store
 
 ORDER = 6
 SHARED = 1  # orders up to this have one set of counts for both classes
@@ -63,6 +64,14 @@ def calibrate(mean: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(b[0]), float(max(0.0, b[1]))
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage through compressed Parquet: a checkpoint's rows are not compressed. Shuffle files that it replaces go."""
+    out = store(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 class Codes(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
