@@ -21,12 +21,20 @@ ARROW_ROWS = 250
 ARROW_BYTES = 4 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Only a local master may leave it unset: then it is a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (folder or os.path.join(tempfile.gettempdir(), "lariat-checkpoints")).rstrip("/")
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the folder of spark.checkpoint.dir, which all executors share. Where it is unset (tests, one machine), a local folder is set."""
+    """Cut lineage through a reliable checkpoint in the shared folder."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lariat-checkpoints"))
+        context.setCheckpointDir(shared_folder(spark))
     # Shuffle files of what earlier checkpoints replaced go once the driver has collected its garbage.
     gc.collect()
     context._jvm.System.gc()
@@ -34,12 +42,31 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def store(df: DataFrame) -> DataFrame:
-    """Write as Parquet into the shared folder of spark.checkpoint.dir and read again."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lariat-checkpoints")
-    path = f"{base.rstrip('/')}/lariat-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    """Write as Parquet into the shared folder and read again."""
+    return Scratch(df.sparkSession)(df)
+
+
+class Scratch:
+    """Tables that cut lineage, written as Parquet into the shared folder; drop() deletes them once what was made of them is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/lariat-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        # Shuffle files that the table replaces go once the driver has collected its garbage.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        context = self.spark.sparkContext
+        for path in self.paths:
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths.clear()
 
 
 def masked(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

@@ -70,7 +70,7 @@ def op9_toxicity(spark, d):
     from lariat.llm.toxicity import score_toxicity
 
     out = score_toxicity(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"))
-    return out.select("doc_id", "held_out", "score", "predicted", "mean")
+    return out.select("doc_id", "held_out", "score", "predicted", "mean", "top")
 
 
 @query

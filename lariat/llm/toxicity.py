@@ -1,8 +1,10 @@
-"""Toxicity by class-conditional Kneser-Ney models of the characters in words: length-normalised toxic and ordinary log-likelihoods are compared; the lowest order shares one set of backoff counts. All n-grams are kept, as tables: no model is held by a task or the driver."""
+"""Toxicity by class-conditional Kneser-Ney models of a text's expressions: length-normalised toxic and ordinary log-likelihoods are compared, and rare expressions are smoothed through backoff counts that both classes share. All counts are kept, as tables: no model is held by a task or the driver.
+
+An expression is a word. Its chance in a class is the class's discounted count of it; the mass that discounting frees goes to the class's spelling model, a tree of word beginnings of up to DEPTH characters: the chance of the next character is the class's discounted number of distinct words that go on with it, and what is freed there goes by the shared counts, the distinct words of the whole corpus, labelled or not. Behind DEPTH characters the classes have everything in common.
+"""
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -10,66 +12,57 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lariat.llm.common import alnum_words, lean, mix, ship, store
+from lariat.llm.common import Scratch, alnum_words, lean, ship
 
-ORDER = 6
-SHARED = 1  # orders up to this have one set of counts for both classes
-#: Bound of the calibration sample, two numbers a row.
+#: Characters of a word's beginning that the spelling models see, its end counting as one.
+DEPTH = 6
+#: The share of its words that a toxic text is taken to have from the toxic model, the others being ordinary.
+TOXIC_SHARE = 0.03
+#: So many of a text's most toxic words are judged by themselves too.
+HIGHEST = 4
+#: Bound of the calibration sample, four numbers a row.
 CALIBRATION = 20_000
 #: Labels of at most so many rows are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
 #: Rows are read in blocks that end at so many words or rows.
 BLOCK_WORDS, BLOCK_ROWS = 500_000, 20_000
-#: Log-ratios are summed as integers of 1 / SCALE, so that no order of rows matters.
+#: Softened log-ratios are summed as integers of 1 / SCALE, so that no order of rows matters.
 SCALE = 1 << 30
-#: Counts of a word or n-gram: in the final model's rows by class, and in the calibration rows among them.
+#: Counts of a word: in the final model's rows by class, and in the calibration rows among them.
 COUNTS = ("ordinary", "toxic", "cal_ordinary", "cal_toxic")
 #: The four distributions: of each class for the final scores (f) and without the calibration rows (c).
 MODELS = ("f_toxic", "f_ordinary", "c_toxic", "c_ordinary")
+END = "\x03"
+
+
+def bucket(doc_id: Column) -> Column:
+    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5))
+
+
+def soften(ratio: np.ndarray, share: float = TOXIC_SHARE) -> np.ndarray:
+    """Log-likelihood ratio of a text whose words are toxic with chance ``share`` to an ordinary one, from the words' own."""
+    return np.log1p(share * np.expm1(np.minimum(ratio, 50.0)))
 
 
-def gram_keys(words: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order, the hash of the n-gram that ends at each character and of its context (before the word's start both are void), and each character's word and place. A word is framed by the bytes 2 and 3; the first is never predicted."""
-    raw = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    starts = np.cumsum(lengths) - lengths
-    word = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(raw)) - starts[word]
-    keys, contexts, h = [], [], np.zeros(len(raw), np.uint64)
-    for k in range(1, ORDER + 1):
-        before, h = np.concatenate((h[:1], h[:-1])), h.copy()
-        h[k - 1 :] = mix(h[k - 1 :] * np.uint64(0x9E3779B97F4A7C15) + raw[: max(0, len(raw) - k + 1)] + np.uint64(k << 32))
-        keys.append(h[place > 0].view(np.int64))
-        contexts.append(before[place > 0].view(np.int64))
-    return keys, contexts, word[place > 0], place[place > 0]
-
-
-def calibrate(mean: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Logistic regression in one variable, by Newton steps with a small ridge; constant if a class is absent."""
-    if not len(mean) or label.min() == label.max():
+def calibrate(x: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logistic regression of standardised columns by Newton steps with a small ridge, as (intercept, weights) of the columns as they are; constant if a class is absent."""
+    if not len(x) or label.min() == label.max():
         rate = (label.sum() + 0.5) / (len(label) + 1) if len(label) else 0.25
-        return float(np.log(rate / (1 - rate))), 0.0
-    x = np.stack([np.ones(len(mean)), np.clip(mean, -5, 5)])
-    b = np.zeros(2)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(b @ x, -30, 30)))
-        hessian = (x * (p * (1 - p) + 1e-9)) @ x.T + np.diag([0, 1e-3])
-        step = np.linalg.solve(hessian, x @ (label - p) - np.array([0, 1e-3]) * b)
-        b = b + np.clip(step, -20, 20)
+        return float(np.log(rate / (1 - rate))), np.zeros(x.shape[1])
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
+    b, ridge = np.zeros(z.shape[1]), np.diag([0.0, *[0.5] * x.shape[1]])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (label - p) - ridge @ b)
+        b = b + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(b[0]), float(max(0.0, b[1]))
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through compressed Parquet: a checkpoint's rows are not compressed. Shuffle files that it replaces go."""
-    out = store(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    weights = b[1:] / spread
+    return float(b[0] - weights @ mean), weights
 
 
 class Codes(dict):
@@ -79,21 +72,16 @@ class Codes(dict):
 
 
 def _known(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, calibration: int) -> DataFrame:
-    """(id, text, y, cal) of every row: the label outside the held-out fifth (else null), conflicting labels of an id read as toxic; and whether the row is one of the calibration rows, bucket 1 in hash order up to ``calibration`` ids."""
+    """(id, text, y, cal) of every row: the label outside the held-out fifth (else null), conflicting labels of an id read as toxic; and whether the row is one of the calibration rows, of bucket 1, by a hash of the id, about ``calibration`` at most."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).cast("int").alias("y")).where(bucket(F.col("__id")) != 0)
     known = F.broadcast(known) if labels.count() <= BROADCAST_LABELS else known
-    h = F.xxhash64(F.col("id").cast("string"))
-    first = docs.select(F.col(doc_id).alias("id")).where(bucket(F.col("id")) == 1).join(known, F.col("id") == F.col("__id"), "left_semi").select(h.alias("h")).distinct().orderBy("h").limit(calibration)
-    last = first.agg(F.max("h")).first()[0]
-    cal = F.lit(False) if last is None else (bucket(F.col("id")) == 1) & (h <= F.lit(last)) & F.col("y").isNotNull()
+    n = docs.select(F.col(doc_id).alias("id")).where(bucket(F.col("id")) == 1).join(known, F.col("id") == F.col("__id"), "left_semi").count()
+    part = min(1 << 30, int((1 << 30) * 0.97 * calibration / max(1, n))) if n > calibration else 1 << 30
+    cal = (bucket(F.col("id")) == 1) & (F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < part) & F.col("y").isNotNull()
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(known, F.col("id") == F.col("__id"), "left").select("id", "text", "y", F.coalesce(cal, F.lit(False)).alias("cal"))
 
 
-def bucket(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5))
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of three kinds for each block of texts: its words (word, code in the block, counts), its documents (id, y of a calibration row, n words; code is the place), and one with all (word, document, count), packed."""
     id_type = rows.schema["id"].dataType.simpleString()
     columns = ["block", "code", "word", *COUNTS, "id", "n", "y", "packed"]
@@ -136,118 +124,106 @@ def _blocks(rows: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return materialise(rows.mapInPandas(lean(run), f"block bigint, code bigint, word binary, {', '.join(c + ' bigint' for c in COUNTS)}, id {id_type}, n bigint, y double, packed binary"))
-
-
-def _grams(words: DataFrame) -> DataFrame:
-    """Every n-gram of the words with its counts, context and suffix."""
+    return scratch(rows.mapInPandas(lean(run), f"block bigint, code bigint, word binary, {', '.join(c + ' bigint' for c in COUNTS)}, id {id_type}, n bigint, y double, packed binary"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, contexts, word, place = gram_keys([bytes(w) for w in batch["word"]])
-            for k in range(1, ORDER + 1):
-                there = np.flatnonzero(place >= k - 1)
-                key, first, at = np.unique(keys[k - 1][there], return_index=True, return_inverse=True)
-                one = there[first]
-                yield pd.DataFrame(
-                    {"order": np.full(len(key), k, np.int32), "key": key, "context": contexts[k - 1][one] if k > 1 else 0, "suffix": keys[k - 2][one] if k > 1 else 0, "start": place[one] == k - 1}
-                    | {c: np.bincount(at, batch[c].to_numpy(float)[word[there]], len(key)).astype(np.int64) for c in COUNTS}
-                )
 
-    names = ["order", "key", "context", "suffix", "start"]
-    grams = words.mapInPandas(run, f"order int, key bigint, context bigint, suffix bigint, start boolean, {', '.join(c + ' bigint' for c in COUNTS)}")
-    return materialise(grams.groupBy(*names).agg(*[F.sum(c).alias(c) for c in COUNTS]))
+def _discounts(table: DataFrame) -> tuple[dict[str, float], dict[str, tuple[int, int]]]:
+    """Of each model: the discount by the counts of counts, and (sum, number of those above 0)."""
+    n = lambda c: F.count(F.when(c, 1))
+    r = table.agg(*[f.alias(f"{m}_{k}") for m in MODELS for k, f in (("1", n(F.col(m) == 1)), ("2", n(F.col(m) == 2)), ("sum", F.coalesce(F.sum(m), F.lit(0))), ("kinds", n(F.col(m) > 0)))]).first()
+    return {m: min(0.95, max(0.1, r[f"{m}_1"] / max(1, r[f"{m}_1"] + 2 * r[f"{m}_2"]))) for m in MODELS}, {m: (r[f"{m}_sum"], r[f"{m}_kinds"]) for m in MODELS}
 
 
-def log_ratios(grams: DataFrame) -> DataFrame:
-    """(key, f, c): log P(character | context, toxic) - log P(... | ordinary) of every n-gram above the first order, in 1 / SCALE, by interpolated Kneser-Ney over all n-grams.
+def word_ratios(vocabulary: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
+    """(word, f, c): log P(word | toxic) - log P(word | ordinary) of every word of (word, counts), 0 under a model that lacks a class.
 
-    The highest order, and n-grams at a word's start, use counts; others the number of distinct n-grams that extend them to the left, of both classes together up to SHARED. An n-gram that no counted row has gets what it would by backing off.
+    The tree has a row a beginning, its children fewer than there are characters; each level is joined to the one above it, so no branch is held by a task.
     """
-    both = {"f": F.col("toxic") + F.col("ordinary"), "c": F.col("toxic") - F.col("cal_toxic") + F.col("ordinary") - F.col("cal_ordinary")}
-    raw = {"f_toxic": F.col("toxic"), "f_ordinary": F.col("ordinary"), "c_toxic": F.col("toxic") - F.col("cal_toxic"), "c_ordinary": F.col("ordinary") - F.col("cal_ordinary")}
-    left = grams.where("order > 1").groupBy(F.col("suffix").alias("key")).agg(*[F.sum((e > 0).cast("bigint")).alias(f"left_{m}") for m, e in (raw | both).items()])
-    none = lambda c: F.coalesce(F.col(c), F.lit(0))
-    a = {m: F.when(F.col("order") <= SHARED, F.when(F.col("start"), both[m[0]]).otherwise(none(f"left_{m[0]}"))).when((F.col("order") == ORDER) | F.col("start"), e).otherwise(none(f"left_{m}")) for m, e in raw.items()}
-    table = grams.join(left, "key", "left").select("order", "key", "context", "suffix", *[e.alias(m) for m, e in a.items()])
-    sums = table.groupBy("context").agg(*[F.sum(m).alias(f"{m}_total") for m in MODELS], *[F.sum((F.col(m) > 0).cast("bigint")).alias(f"{m}_kinds") for m in MODELS])
-    table = materialise(table.join(sums, "context"))
-    stats = {r.order: r for r in table.groupBy("order").agg(*[F.sum(F.when(F.col(m) == v, 1).otherwise(0)).alias(f"{m}_{v}") for m in MODELS for v in (1, 2)], *[F.sum(m).alias(f"{m}_sum") for m in MODELS]).collect()}
-
-    level, levels = None, []
-    for k in range(1, ORDER + 1):
-        here = table.where(F.col("order") == k)
-        if k not in stats:
-            break
-        if k == 1:
-            level = here.select("key", *[((F.col(m) + 0.5) / (stats[1][f"{m}_sum"] + 128)).alias(m) for m in MODELS])
-            continue
-        p = []
-        for m in MODELS:
-            ones, twos = stats[k][f"{m}_1"], stats[k][f"{m}_2"]
-            d = min(0.9, max(0.1, ones / max(1, ones + 2 * twos)))
-            total = F.col(f"{m}_total")
-            p.append(F.when(total > 0, F.greatest(F.col(m) - d, F.lit(0.0)) / total + F.lit(d) * F.col(f"{m}_kinds") / total * F.col(f"below_{m}")).otherwise(F.col(f"below_{m}")).alias(m))
-        below = level.select(F.col("key").alias("suffix"), *[F.col(m).alias(f"below_{m}") for m in MODELS])
-        level = materialise(here.join(below, "suffix").select("key", *p))
+    words = vocabulary.select("word", F.col("toxic").alias("f_toxic"), F.col("ordinary").alias("f_ordinary"), (F.col("toxic") - F.col("cal_toxic")).alias("c_toxic"), (F.col("ordinary") - F.col("cal_ordinary")).alias("c_ordinary"))
+    d_word, totals = _discounts(words)
+    framed = F.concat(F.col("word").cast("string"), F.lit(END))
+    length = F.least(F.length(framed), F.lit(depth))
+    starts = words.select(F.explode(F.transform(F.sequence(F.lit(1), length), lambda k: F.substring(framed, 1, k))).alias("b"), *[(F.col(m) > 0).cast("int").alias(m) for m in MODELS])
+    tree = scratch(starts.groupBy("b").agg(F.count("*").alias("all"), *[F.sum(m).alias(m) for m in MODELS]).withColumn("level", F.length("b")))
+    d_tree, _ = _discounts(tree)
+
+    above, levels = None, []
+    for k in range(1, depth + 1):
+        w = Window.partitionBy("parent")
+        here = tree.where(F.col("level") == k).withColumn("parent", F.substring("b", 1, k - 1))
+        here = here.withColumns({"all_sum": F.sum("all").over(w)} | {f"{m}_sum": F.sum(m).over(w) for m in MODELS} | {f"{m}_kinds": F.sum((F.col(m) > 0).cast("int")).over(w) for m in MODELS})
+        here = here.join(above, "parent") if above is not None else here.withColumns({f"{m}_p": F.lit(0.0) for m in MODELS})
+        shared = F.col("all") / F.col("all_sum")
+        step = lambda m: F.when(F.col(f"{m}_sum") > 0, (F.greatest(F.col(m) - d_tree[m], F.lit(0.0)) + d_tree[m] * F.col(f"{m}_kinds") * shared) / F.col(f"{m}_sum")).otherwise(shared)
+        level = scratch(here.select("b", "all", *[(F.col(f"{m}_p") + F.log(step(m))).alias(f"{m}_p") for m in MODELS]))
         levels.append(level)
-    ratio = lambda m: F.round((F.log(f"{m}_toxic") - F.log(f"{m}_ordinary")) * SCALE).cast("bigint").alias(m)
-    out = [x.select("key", ratio("f"), ratio("c")) for x in levels] or [grams.select("key", F.lit(0).cast("bigint").alias("f"), F.lit(0).cast("bigint").alias("c"))]
-    for x in out[1:]:
-        out[0] = out[0].unionByName(x)
-    return out[0]
+        above = level.select(F.col("b").alias("parent"), *[f"{m}_p" for m in MODELS])
+    ends = levels[-1]
+    for level in levels[:-1]:
+        ends = ends.unionByName(level.where(F.col("b").endswith(END)))
 
+    def chance(m: str) -> Column:
+        n, kinds = totals[m]
+        spelling = F.exp(F.col(f"{m}_p") - F.log("all"))
+        return F.log((F.greatest(F.col(m) - d_word[m], F.lit(0.0)) + d_word[m] * kinds * spelling) / n)
 
-def _word_scores(words: DataFrame, ratios: DataFrame) -> DataFrame:
-    """(word, f, c): sums of the log-ratios of each word's characters, each with the longest n-gram that ends at it. Words go by number meanwhile: a long one has many rows."""
+    ratio = lambda m: (chance(f"{m}_toxic") - chance(f"{m}_ordinary") if totals[f"{m}_toxic"][0] and totals[f"{m}_ordinary"][0] else F.lit(0.0)).cast("float").alias(m)
+    return scratch(words.withColumn("b", F.substring(framed, 1, depth)).join(ends, "b").select("word", ratio("f"), ratio("c")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, _, word, place = gram_keys([bytes(w) for w in batch["word"]])
-            key = np.stack(keys)[np.minimum(place, ORDER - 1), np.arange(len(place))]
-            yield pd.DataFrame({"number": batch["number"].to_numpy(np.int64)[word], "key": key})
-
-    sums = words.select("number", "word").mapInPandas(run, "number bigint, key bigint").join(ratios, "key").groupBy("number").agg(F.sum("f").alias("f"), F.sum("c").alias("c"))
-    return words.select("number", "word").join(sums, "number").drop("number")
 
-
-def word_means(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, calibration: int) -> DataFrame:
-    """(id, y, f, c) of every row: its mean log-ratio a word by the final model and by the one without the calibration rows, whose y alone is not null."""
+def text_ratios(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, calibration: int) -> DataFrame:
+    """(id, y, n, and for f, the final model, and c, the one without the calibration rows: mean, soft, top) of every row; y is null but for calibration rows. mean: mean log-ratio of the words; soft: mean of the softened ones; top: mean of the HIGHEST highest ones. Texts without words have zeros."""
     ship(docs.sparkSession)
-    blocks = _blocks(_known(docs, labels, text, doc_id, label, calibration))
-    words = materialise(blocks.where("word is not null").groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]).withColumn("number", F.monotonically_increasing_id()))
-    scores = _word_scores(words, log_ratios(_grams(words)))
-    nothing = [F.lit(None).cast("bigint").alias(c) for c in ("f", "c")]
-    parts = blocks.where("word is not null").select("block", "code", "word").join(scores, "word")
-    parts = parts.select("block", "code", F.lit(None).cast(docs.schema[doc_id].dataType).alias("id"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("binary").alias("packed"), "f", "c")
+    scratch = Scratch(docs.sparkSession)
+    blocks = _blocks(_known(docs, labels, text, doc_id, label, calibration), scratch)
+    words = scratch(blocks.where("word is not null").groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+    ratios = word_ratios(words, scratch)
+    nothing = [F.lit(None).cast("float").alias(c) for c in ("f", "c")]
+    kind = docs.select(F.col(doc_id).alias("d")).schema["d"].dataType
+    parts = blocks.where("word is not null").select("block", "code", "word").join(ratios, "word")
+    parts = parts.select("block", "code", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("binary").alias("packed"), "f", "c")
     parts = parts.unionByName(blocks.where("word is null").select("block", "code", "id", "n", "y", "packed", *nothing))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         plain = zlib.decompress(bytes(group.loc[group["code"] < 0, "packed"].iloc[0]))
         known = group[group["f"].notna()].sort_values("code")
         texts = group[group["n"].notna()].sort_values("code")
-        k = len(known)
+        k, n = len(known), texts["n"].to_numpy(np.int64)
         u = np.frombuffer(plain, "<u4").astype(np.int64)
-        doc, count = u[k:].reshape(2, -1)
-        out = {"id": texts["id"], "y": texts["y"]}
+        code, (doc, count) = np.repeat(np.arange(k), u[:k]), u[k:].reshape(2, -1)
+        out = {"id": texts["id"], "y": texts["y"], "n": n}
         for c in ("f", "c"):
-            total = np.zeros(len(texts), np.int64)
-            np.add.at(total, doc, np.repeat(known[c].to_numpy(np.int64), u[:k]) * count)
-            out[c] = total / SCALE / np.maximum(1, texts["n"].to_numpy(np.int64))
+            r = known[c].to_numpy(np.float64)
+            for name, value in (("mean", r), ("soft", soften(r))):
+                total = np.zeros(len(n), np.int64)
+                np.add.at(total, doc, np.rint(value * SCALE).astype(np.int64)[code] * count)
+                out[f"{c}_{name}"] = total / SCALE / np.maximum(1, n)
+            o = np.lexsort((-r[code], doc))
+            taken = np.cumsum(count[o])
+            first = np.searchsorted(doc[o], doc[o], "left")
+            taken -= (taken - count[o])[first]
+            use = np.clip(HIGHEST - (taken - count[o]), 0, count[o])
+            top = np.bincount(doc[o], use * r[code[o]], len(n))
+            out[f"{c}_top"] = top / np.maximum(1, np.minimum(n, HIGHEST))
         return pd.DataFrame(out)
 
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    return materialise(parts.groupBy("block").applyInPandas(run, f"id {id_type}, y double, f double, c double"))
+    numbers = ", ".join(f"{c}_{x} double" for c in ("f", "c") for x in ("mean", "soft", "top"))
+    out = Scratch(docs.sparkSession)(parts.groupBy("block").applyInPandas(run, f"id {kind.simpleString()}, y double, n bigint, {numbers}"))
+    scratch.drop()
+    return out
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", calibration: int = CALIBRATION) -> DataFrame:
-    """doc_id, held_out, mean (log-likelihood ratio a word), score (0 to 1), predicted for every row. Texts without words, null ones too, have mean 0. A null doc_id is never held out. Without labels every row gets the same score below a half; equal texts get equal scores; extra columns are ignored.
+    """doc_id, held_out, mean (log-likelihood ratio a word), top (of the four most toxic words), score (0 to 1), predicted for every row.
+
+    Texts without words, null ones too, have mean and top 0. Texts of any length are scored whole: they meet the word's ratios by block, and a text is never split. A null doc_id is never held out and learns nothing. Repeated rows count as often as they occur and get equal scores, as equal texts do. Without labels every row gets the same score below a half. An empty table gives no rows. Other columns are ignored whatever their names.
 
-    All labelled rows of buckets 1 to 4 are counted, nothing of bucket 0. The cut is fitted on calibration rows of bucket 1 under a model without them.
+    All labelled rows of buckets 1 to 4 are counted, nothing of bucket 0; shared counts are of all texts. The score is a logistic curve over the softened mean, the highest words and the logarithm of the length, fitted on calibration rows of bucket 1 under a model without them.
     """
-    out = word_means(docs, labels, text, doc_id, label, calibration)
-    sample = out.where("y is not null").orderBy(F.xxhash64(F.col("id").cast("string")), "c", "y").limit(calibration).select("c", "y").toPandas()
-    a, b = calibrate(sample["c"].to_numpy(float), (sample["y"] > 0).to_numpy(float))
-    mean = F.col("f")
-    out = out.select(F.col("id").alias("doc_id"), F.coalesce(bucket(F.col("id")) == 0, F.lit(False)).alias("held_out"), mean.alias("mean"), (1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), a + b * mean))))).alias("score"))
+    out = text_ratios(docs, labels, text, doc_id, label, calibration)
+    sample = out.where("y is not null").select("id", "n", "c_soft", "c_top", "y").toPandas().sort_values(["id", "y", "c_soft", "c_top"])
+    x = np.column_stack([sample["c_soft"].to_numpy(float), sample["c_top"].to_numpy(float), np.log1p(sample["n"].to_numpy(float))])
+    a, (soft, top, size) = calibrate(x, (sample["y"] > 0).to_numpy(float))
+    line = F.lit(a) + soft * F.col("f_soft") + top * F.col("f_top") + size * F.log1p(F.col("n").cast("double"))
+    out = out.select(F.col("id").alias("doc_id"), F.coalesce(bucket(F.col("id")) == 0, F.lit(False)).alias("held_out"), F.col("f_mean").alias("mean"), F.col("f_top").alias("top"), (1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), line))))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
