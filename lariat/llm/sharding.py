@@ -25,20 +25,23 @@ def _range_udf(bounds: list[tuple[int, int]]):
     def of(g: pd.Series, d: pd.Series) -> pd.Series:
         g, d = g.to_numpy(np.int64), d.to_numpy(np.int64)
         lo, hi = np.searchsorted(groups, g, "left"), np.searchsorted(groups, g, "right")
-        out = lo.copy()
-        for i in np.flatnonzero(hi > lo):  # only groups that a boundary cuts or starts
-            out[i] = lo[i] + np.searchsorted(docs[lo[i] : hi[i]], d[i], "right")
-        return pd.Series(out, dtype="int32")
+        # A group that boundaries cut or start: all its rows of the batch are searched at once.
+        cut = np.flatnonzero(hi > lo)
+        cut = cut[np.argsort(lo[cut], kind="stable")]
+        for part in np.split(cut, np.flatnonzero(np.diff(lo[cut])) + 1) if len(cut) else ():
+            a, b = lo[part[0]], hi[part[0]]
+            lo[part] = a + np.searchsorted(docs[a:b], d[part], "right")
+        return pd.Series(lo, dtype="int32")
 
     return of
 
 
-def sampled_splitters(keys: DataFrame, ranges: int, samples: int, seed: int) -> list[tuple[int, int]]:
-    """Boundaries (group, doc): weighted quantiles of ``samples`` keys, drawn with chances in proportion to size (exponential clocks from a hash, so retries draw the same). A boundary stands at a group's start unless several fall into one group: then that group is cut by doc."""
+def sampled_splitters(keys: DataFrame, total: int, ranges: int, samples: int, seed: int) -> list[tuple[int, int]]:
+    """Boundaries (group, doc): weighted quantiles of about ``samples`` keys. Every row rings an exponential clock as often as its size says, until a time at which ``samples`` of the ``total`` bytes have rung: a row is drawn with the chance that it rang at all, by a hash, so retries draw the same, and rows equal in both are drawn as one; what reaches the driver is ``samples`` rows in all, whatever the partitions. A boundary stands at a group's start unless several fall into one group: then that group is cut by doc."""
     low = np.iinfo(np.int64).min
     u = (F.pmod(F.xxhash64("g", "d", F.lit(seed)), F.lit(1 << 53)) + 1) / F.lit(float((1 << 53) + 1))
-    rows = keys.select("g", "d", (-F.log(u) / F.col("size")).alias("clock")).orderBy("clock", "g", "d").limit(samples).select("g", "d").collect()
-    rows = sorted((r.g, r.d) for r in rows)
+    rang = -F.log(u) <= F.col("size") * F.lit(samples / max(1, total))
+    rows = sorted((r.g, r.d) for r in keys.where(rang).select("g", "d").distinct().collect())
     if not rows:
         return []
     cuts = [rows[len(rows) * i // ranges] for i in range(1, ranges)]
@@ -53,7 +56,9 @@ def shard_by_splitters(docs: DataFrame, shards: int, text: str = "text", doc_id:
 
     Keys are (hash of the text, doc_id), so equal texts are neighbours. Sizes are UTF-8 bytes plus 1; null text has no bytes, size 1 and checksum 0 and groups with other nulls; a null doc_id sorts first and equal rows are told apart arbitrarily. Empty input gives no rows. Shards are cut where the exact running byte count passes multiples of total/shards: a shard's bytes miss the mean by at most one row, plus groups kept whole (``group_share`` of a shard each).
 
-    Only sampled keys (``samples``) and range totals (``ranges`` times the splits) reach the driver.
+    Texts of any length weigh their bytes and are never moved: only their hash, size and checksum are. Repeated rows are rows of their own. Other columns are left out, whatever their names.
+
+    Only sampled keys (about ``samples``) and range totals (``ranges`` times the splits) reach the driver.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -66,7 +71,7 @@ def shard_by_splitters(docs: DataFrame, shards: int, text: str = "text", doc_id:
         F.coalesce(F.crc32(F.col(text)), F.lit(0)).cast("bigint").alias("text_crc32"),
     ))
     total = keys.agg(F.sum("size").alias("s")).first().s or 0
-    bounds = sampled_splitters(keys, ranges, samples, seed)
+    bounds = sampled_splitters(keys, total, ranges, samples, seed)
     for r in range(rounds + 1):
         ranged = keys.withColumn("r", _range_udf(bounds)("g", "d") if bounds else F.lit(0))
         sums = {x.r: (x.b, x.n, x.one) for x in ranged.groupBy("r").agg(F.sum("size").alias("b"), F.count("*").alias("n"), (F.min(F.struct("g", "d")) == F.max(F.struct("g", "d"))).alias("one")).collect()}
@@ -75,7 +80,7 @@ def shard_by_splitters(docs: DataFrame, shards: int, text: str = "text", doc_id:
         if not over or r == rounds:
             break
         wide = ranged.where(F.col("r").isin(over))
-        bounds = sorted(set(bounds) | set(sampled_splitters(wide, min(ranges, 4 * len(over)) + 1, samples, seed + r + 1)))
+        bounds = sorted(set(bounds) | set(sampled_splitters(wide, sum(sums[k][0] for k in over), min(ranges, 4 * len(over)) + 1, samples, seed + r + 1)))
 
     order = sorted(sums)
     before_b, before_n, b, n = {}, {}, 0, 0
@@ -100,5 +105,3 @@ def shard_by_splitters(docs: DataFrame, shards: int, text: str = "text", doc_id:
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str, doc_id: str = "doc_id") -> None:
     """The records themselves, in one folder a shard, each sorted by slot. Needs unique doc_ids."""
     docs.join(assigned.select(F.col("doc_id").alias(doc_id), "shard", "slot"), doc_id).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-
-
