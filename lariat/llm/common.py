@@ -69,6 +69,17 @@ class Scratch:
         self.paths.clear()
 
 
+#: A key that holds more than one row in so many is joined by broadcast: no more keys than that can.
+HOT_PARTS = 2_000
+
+
+def join_each(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """Inner join with ``right``, which has a row a key and in column ``n`` how many of the ``total`` rows of ``left`` have it. Rows of hot keys stay where they are; the others are shuffled, of which no key has more than one in HOT_PARTS."""
+    hot = F.col(n) > max(2, total // HOT_PARTS)
+    few = F.broadcast(right.where(hot).drop(n))
+    return left.join(few, on).unionByName(left.join(few.select(*on), on, "left_anti").join(right.where(~hot).drop(n), on))
+
+
 def masked(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """The rows as doc_id, text and column_0, column_1, ...: no name can clash with an operator's own; and the way back."""
     others = [c for c in docs.columns if c not in (text, doc_id)]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import WordHashes, hash_words, lean, masked, materialise, mix, rolling, ship, with_rids
+from lariat.llm.common import Scratch, WordHashes, hash_words, join_each, lean, masked, materialise, mix, rolling, ship, with_rids
 from lariat.llm.shared_keys import shared_keys
 
 SHINGLE = 5
@@ -22,6 +22,10 @@ SMALL = 32
 NEAREST = (2, 16, None)
 #: A bucket is compared in blocks of at most so many texts outside its largest component by so many texts.
 BLOCK = (2_000, 20_000)
+#: Links are counted in blocks of about so many texts and shingles of a component.
+LINK_BLOCK = (400, 500_000)
+#: Columns of the matrices whose product counts common shingles.
+LINK_COLUMNS = 8_192
 
 
 def shingle_set(text: str | None, cache: WordHashes, k: int = SHINGLE) -> np.ndarray:
@@ -114,65 +118,68 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", links: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row; component_id is the smallest doc_id reachable by links, n_links how many other rows link with the row, its copies among them. Without ``links`` n_links is null, and pairs inside a component that others have joined are not verified.
+    """(doc_id, n_shingles, component_id, n_links) for every row; component_id is the smallest doc_id reachable by links, n_links how many other rows link with the row, its copies among them. Without ``links`` n_links is null.
 
-    Texts without words have no shingles and link with nothing. Equal sets (exact copies, and repeated rows) are one class, joined once. doc_id must be integral; rows with a null doc_id are members of classes like others, and a class of null ids alone has a null component. If an id repeats with different texts, hashes stand in for ids while joining.
+    Texts without words (null, empty, white space) have no shingles and link with nothing. Equal sets (exact copies, and repeated rows) are one class, joined once. doc_id must be integral; rows with a null doc_id are members of classes like others, and a class of null ids alone has a null component. If an id repeats with different texts, hashes stand in for ids while joining. Texts of any length are taken whole. An empty table gives no rows. Other columns are ignored whatever their names.
 
-    Nothing about all documents reaches the driver. A block that one class alone holds goes no further; each class publishes its rarest blocks only, as many as exactness needs, so a passage or line that many texts share yields candidates only where texts have little else. For n_links all pairs of a bucket are compared by sketch, and all that it allows are verified. For components alone a bucket is first tried as a star around one member; then texts of different components are compared by sketch, and the nearest are verified until none is left.
+    Nothing about all documents reaches the driver. A block that one class alone holds goes no further; each class publishes its rarest blocks only, as many as exactness needs, so a passage or line that many texts share yields candidates only where texts have little else. A bucket is first tried as a star around one member; then texts of different components are compared by sketch, and the nearest are verified until none is left. Links stand inside components only: there they are counted by products of incidence matrices, block by block, and no pair is a row.
     """
     spark = docs.sparkSession
     ship(spark)
+    scratch = Scratch(spark)
     d = F.col(doc_id).cast("bigint")
     rows = docs.select(d.alias("id"), F.col(text).alias("text"))
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for b in batches:
-            out, sketches = [], []
+            out, more = [], []
             for t in b["text"]:
                 s = shingle_set(t, cache)
                 out.append((len(s), *fingerprint(s)))
-                sketches.append(parity_sketch(s))
+                more.append((parity_sketch(s), *_key_bytes(s)))
             f = np.array(out, np.int64).reshape(-1, 3)
-            yield pd.DataFrame({"id": b["id"], "rid": b["rid"], "size": f[:, 0], "f1": f[:, 1], "f2": f[:, 2], "sketch": sketches})
+            yield pd.DataFrame({"id": b["id"], "rid": b["rid"], "size": f[:, 0], "f1": f[:, 1], "f2": f[:, 2]} | {c: [m[i] for m in more] for i, c in enumerate(("sketch", "keys", "bands"))})
 
     # Ids name rows while they are unique and there is none missing; else hashes of id and text do.
-    odd = rows.agg(F.count("*").alias("n"), F.count("id").alias("k"), F.approx_count_distinct("id").alias("u")).first()
+    odd = rows.agg(F.count("*").alias("n"), F.count("id").alias("k")).first()
     unique = odd.n == odd.k and rows.select("id").distinct().count() == odd.n
     rid = F.col("id") if unique else F.xxhash64("id", "text")
     rows = rows.select("id", "text", rid.alias("rid"))
-    table = materialise(rows.mapInPandas(lean(sizes), "id bigint, rid bigint, size bigint, f1 bigint, f2 bigint, sketch binary"))
-    classes = table.where("size > 0").groupBy("size", "f1", "f2").agg(F.min("rid").alias("node"), F.min("id").alias("low"))
-    sketched = table.select(F.col("rid").alias("node"), "sketch")
-    table = materialise(table.join(classes, ["size", "f1", "f2"], "left").select("id", "rid", "size", "node", "low"))
+    read = scratch(rows.mapInPandas(lean(sizes), "id bigint, rid bigint, size bigint, f1 bigint, f2 bigint, sketch binary, keys binary, bands binary"))
+    worded = read.where("size > 0")
+    classes = worded.groupBy("size", "f1", "f2").agg(F.min("rid").alias("node"), F.min("id").alias("low"), F.count("*").alias("n"))
+    placed = join_each(worded.select("id", "rid", "size", "f1", "f2"), classes, ["size", "f1", "f2"], "n", odd.n).select("id", "rid", "size", "node", "low")
+    nothing = F.lit(None).cast("bigint")
+    table = materialise(placed.unionByName(read.where("size = 0").select("id", "rid", "size", nothing.alias("node"), nothing.alias("low"))))
     nodes = table.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.min("low").alias("low"), F.count("*").alias("rows"))
     of_row = table.where("node is not null").groupBy("rid").agg(F.min("node").alias("node"), F.min("size").alias("size"))
 
-    published = materialise(_publish(rows, of_row, (table.agg(F.sum("size").alias("s")).first().s or 0) * 0.5))
-    alone = published.groupBy("key").agg((F.count("*") > 1).alias("met")).where("met").select("key")
-    published = materialise(published.join(alone, "key"))
+    published = materialise(_publish(read, of_row, (table.agg(F.sum("size").alias("s")).first().s or 0) * 0.5))
+    total = published.count()
+    met = published.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    published = materialise(join_each(published, met, ["key"], "n", total))
+    keys = published.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("hub"))
 
     members = published.select("node").distinct()
     texts = _packed_texts(rows, members)
-    sketches = materialise(sketched.join(members, "node").dropDuplicates(["node"]))
-    linked = tested = roots = None  # roots: node -> root so far
-    for most in (None,) if links else (0, *NEAREST):
-        state = published.withColumn("root", F.col("node")) if roots is None else published.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").drop("__n").withColumn("root", F.coalesce("root", "node"))
+    sketches = materialise(read.select(F.col("rid").alias("node"), "sketch").join(members, "node").dropDuplicates(["node"]))
+    tested = roots = None  # roots: node -> root so far
+    for most in (0, *NEAREST):
         if most == 0:
             # A star: each text against the bucket member that most of its blocks name.
-            hub = F.min(F.struct("node", "size")).alias("hub")
-            pairs = state.join(state.groupBy("key").agg(hub), "key").select(F.col("node").alias("x"), F.col("size").alias("sx"), F.col("hub.node").alias("y"), F.col("hub.size").alias("sy"))
+            pairs = join_each(published, keys, ["key"], "n", total).select(F.col("node").alias("x"), F.col("size").alias("sx"), F.col("hub.node").alias("y"), F.col("hub.size").alias("sy"))
             pairs = pairs.where((F.col("x") != F.col("y")) & (100 * F.least("sx", "sy") >= PERCENT * F.greatest("sx", "sy"))).groupBy("x", "y").agg(F.count("*").alias("votes"))
             pairs = pairs.groupBy("x").agg(F.max_by("y", F.struct("votes", "y")).alias("y"))
         else:
-            pairs = _near(state, sketches, most)
+            state = published.withColumn("root", F.col("node")) if roots is None else published.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").drop("__n").withColumn("root", F.coalesce("root", "node"))
+            pairs = _near(state, total, sketches, most)
             pairs = pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti")
         pairs = materialise(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not pairs.take(1):
             continue
         found = materialise(_verify(pairs, texts))
-        linked = found if linked is None else linked.unionByName(found)
         if not found.take(1):
             continue
         # Roots so far stand for the links so far.
@@ -180,52 +187,64 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         if roots is not None:
             edges = edges.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = connected(edges)
-    placed = nodes.select("node", F.lit(None).cast("bigint").alias("component"))
+    component, n_links = nodes.select("node", F.lit(None).cast("bigint").alias("component")), F.lit(None).cast("bigint")
     if roots is not None:
-        every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-        component = every.join(nodes, "node").groupBy("root").agg(F.min("low").alias("component"))
-        placed = every.join(component, "root").select("node", "component")
-    n_links = F.lit(None).cast("bigint")
+        every = materialise(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+        lows = every.join(nodes, "node").groupBy("root").agg(F.min("low").alias("component"))
+        component = every.join(lows, "root").select("node", "component")
     if links:
         # Of a class of n rows each links with the n - 1 others, and with all rows of the classes that its class links with.
         n_links = F.coalesce("n_links", F.lit(0)).cast("bigint")
         ends = nodes.select("node", (F.col("rows") - 1).alias("n"))
-        if linked is not None:
-            both = linked.select("x", "y").unionByName(linked.select(F.col("y").alias("x"), F.col("x").alias("y")))
-            ends = ends.unionByName(both.join(nodes.select(F.col("node").alias("y"), F.col("rows").alias("n")), "y").select(F.col("x").alias("node"), "n"))
-        placed = ends.groupBy("node").agg(F.sum("n").alias("n_links")).join(placed, "node", "left")
-    out = table.join(placed.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "low", "id").alias("component_id"), n_links.alias("n_links"))
-
-
-def _publish(rows: DataFrame, of_row: DataFrame, total: float) -> DataFrame:
+        if roots is not None:
+            ends = ends.unionByName(_count_links(every.join(nodes, "node").select("node", "root", "size", "rows"), texts))
+        component = ends.groupBy("node").agg(F.sum("n").alias("n_links")).join(component, "node", "left")
+    # A class of many rows is joined by broadcast as well.
+    described = nodes.select("node", "rows").join(component, "node", "left")
+    out = join_each(table.where("node is not null"), described, ["node"], "rows", odd.n)
+    last = [F.col("id").alias("doc_id"), F.col("size").alias("n_shingles")]
+    out = out.select(*last, F.coalesce("component", "low", "id").alias("component_id"), n_links.alias("n_links"))
+    none = table.where("node is null").select(*last, F.col("id").alias("component_id"), F.lit(0 if links else None).cast("bigint").alias("n_links"))
+    out = Scratch(spark)(out.unionByName(none))
+    scratch.drop()
+    return out
+
+
+def _key_bytes(s: np.ndarray) -> tuple[bytes, bytes]:
+    """The blocks of a set as six bytes each, and (band, blocks) of each of its bands."""
+    if not len(s):
+        return b"", b""
+    keys, band, counts = sketch_keys(s)
+    ends = np.cumsum(counts)
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), np.stack((band[ends - 1], counts), 1).astype("<u4").tobytes()
+
+
+def _publish(read: DataFrame, of_row: DataFrame, total: float) -> DataFrame:
     """(node, size, key): the (size / 4 + 1) rarest blocks of each class and band, without those that nobody shares."""
 
     def emit():
-        cache, seen = WordHashes(), set()
+        seen = set()
 
         def keys_of(b: pd.DataFrame):
-            keys, ids, bands = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for r, t in zip(b["rid"], b["text"], strict=True):
-                s = shingle_set(t, cache)
-                if not len(s):
-                    continue
-                f = fingerprint(s)
-                if f in seen:  # a copy in this task adds nothing
-                    continue
+            new = []
+            for f in zip(b["f1"], b["f2"], strict=True):
+                new.append(f not in seen)  # a copy in this task adds nothing
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(f)
-                k, band, _ = sketch_keys(s)
-                # The blocks in use ride along: the publishing rule needs how many there are.
-                keys.append(k)
-                ids.append(np.full(len(k), r, np.int64))
-                bands.append(band << 32 | np.repeat(_counts(band), _counts(band)))
-            return np.concatenate(keys), [np.concatenate(ids), np.concatenate(bands)]
+            b = b[new]
+            raw = np.frombuffer(b"".join(b["keys"]), np.uint8).reshape(-1, 6)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, :6] = raw
+            bands = [np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64) for x in b["bands"]]
+            # The blocks in use ride along: the publishing rule needs how many there are.
+            flat = np.concatenate([*bands, np.empty((0, 2), np.int64)])
+            rids = np.repeat(b["rid"].to_numpy(np.int64), [int(x[:, 1].sum()) for x in bands])
+            return wide.view("<u8").ravel(), [rids, np.repeat(flat[:, 0] << 32 | flat[:, 1], flat[:, 1])]
 
         return keys_of
 
-    shared = shared_keys(rows.select("rid", "text"), emit, ["rid", "band"], total, "rid")
+    shared = shared_keys(read.where("size > 0").select("rid", "f1", "f2", "keys", "bands"), emit, ["rid", "band"], total, "rid")
     # Publish the (size / 4 + 1) rarest blocks of each band; blocks that nobody shares are rarest and need no row.
     known = shared.join(of_row, "rid").select("node", "size", F.shiftright("band", 32).alias("band"), F.col("band").bitwiseAND((1 << 32) - 1).alias("used"), "key", "n").dropDuplicates(["node", "band", "key"])
     order = F.sort_array(F.collect_list(F.struct("n", "key")))
@@ -234,22 +253,18 @@ def _publish(rows: DataFrame, of_row: DataFrame, total: float) -> DataFrame:
     return lists.select("node", "size", F.explode(F.slice("keys", 1, F.greatest(F.lit(0), room).cast("int"))).alias("k")).select("node", "size", F.col("k.key").alias("key"))
 
 
-def _counts(band: np.ndarray) -> np.ndarray:
-    """Lengths of the runs of equal bands."""
-    starts = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
-    return np.diff(np.append(starts, len(band)))
-
-
-def _near(state: DataFrame, sketches: DataFrame, most: int | None) -> DataFrame:
+def _near(state: DataFrame, total: int, sketches: DataFrame, most: int | None) -> DataFrame:
     """(x, y), x < y: pairs of a bucket in different components whose sizes and sketches allow a link; of each text and component the ``most`` nearest (None: all).
 
     Buckets with the same least member are one, so texts with many blocks in common meet once. Only texts outside a bucket's largest component are compared, with all of the bucket, inside tasks of bounded blocks: pairs that the sketches rule out are never rows.
     """
-    open_ = state.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("node").alias("bucket")).where("a <> b").select("key", "bucket")
-    met = materialise(state.join(open_, "key").select("bucket", "node", "size", "root").distinct())
+    state = materialise(state)
+    open_ = state.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("node").alias("bucket"), F.count("*").alias("n")).where("a <> b").select("key", "bucket", "n")
+    met = materialise(join_each(state, open_, ["key"], "n", total).select("bucket", "node", "size", "root").distinct())
     counts = met.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     buckets = counts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    rows = met.join(buckets, "bucket").withColumn("outside", F.col("root") != F.col("main"))
+    n_met = met.count()
+    rows = join_each(met, buckets.withColumn("n", F.col("all")), ["bucket"], "n", n_met).withColumn("outside", F.col("root") != F.col("main"))
     rows = rows.withColumns({"na": F.ceil((F.col("all") - F.col("top")) / BLOCK[0]).cast("int"), "nb": F.ceil(F.col("all") / BLOCK[1]).cast("int")})
     deal = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     # One row serves both sides where a bucket is one block, else each side's rows are dealt to its blocks.
@@ -258,7 +273,7 @@ def _near(state: DataFrame, sketches: DataFrame, most: int | None) -> DataFrame:
     right = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda i: F.struct(i.cast("int").alias("i"), deal("nb", 2).alias("j"), F.lit(False).alias("a"), F.lit(True).alias("b")))
     both = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("outside").alias("a"), F.lit(True).alias("b")))
     # Small buckets share a task's group.
-    groups = max(1, met.count() // 5_000)
+    groups = max(1, n_met // 5_000)
     dealt = rows.select("bucket", "node", "size", "root", F.when(one, F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("bucket"), 1)).alias("g"), F.inline(F.when(one, both).otherwise(F.concat(left, right)))).join(sketches, "node")
 
     nothing = pd.DataFrame({"x": [], "y": [], "r": [], "far": []}).astype("int64")
@@ -327,6 +342,55 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.mapInPandas(lean(check), "x bigint, y bigint")
 
 
+def _count_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, n): of each class of (node, root, size, rows), partial sums of the rows of the other classes that it links with.
+
+    Two texts that link are in one component, so a component's texts meet block by block, each pair of blocks in a task of its own; small components share tasks. Common shingles are counted for a whole block at once, as a product of incidence matrices over the shingles that two texts or more have.
+    """
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("n") / LINK_BLOCK[0], F.col("shingles") / LINK_BLOCK[1])).cast("int").alias("blocks")
+    total = members.count()
+    groups = max(1, total // 1_000)
+    dealt = join_each(members, sizes.select("root", "n", blocks), ["root"], "n", total).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Block pairs (i, j), i <= j: one with itself, and with each other one.
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("b", k.cast("int")).alias("i"), F.greatest("b", k.cast("int")).alias("j")))
+    one = F.col("blocks") == 1
+    dealt = dealt.select("node", "root", "rows", "b", F.when(one, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("root"), 1)).alias("g"), F.inline(pairs))
+
+    def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shingles that each of the sets a and each of the sets b have in common."""
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1
+        there = times[column] > 1
+        row, column = row[there], number[column[there]]
+        o = np.argsort(column, kind="stable")
+        row, column = row[o], column[o]
+        out = np.zeros((len(a), len(b)), np.int64)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, LINK_COLUMNS):
+            lo, hi = np.searchsorted(column, (first, first + LINK_COLUMNS))
+            used = np.zeros((len(sets), min(LINK_COLUMNS, int(column[-1]) + 1 - first)), np.float32)
+            used[row[lo:hi], column[lo:hi] - first] = 1
+            out += (used[a] @ used[b].T).astype(np.int64)
+        return out
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        cache, nodes, sums = WordHashes(), [], []
+        for _, part in group.groupby("root", sort=False):
+            sets = [shingle_set(zlib.decompress(z).decode("utf-8", "surrogatepass"), cache) for z in part["z"]]
+            size, rows = np.array([len(s) for s in sets]), part["rows"].to_numpy(np.int64)
+            b, i, j = part["b"].to_numpy(), part["i"].iloc[0], part["j"].iloc[0]
+            x, y = np.flatnonzero(b == i), np.flatnonzero(b == j)
+            both = common(sets, x, y)
+            linked = 100 * both >= PERCENT * (size[x, None] + size[None, y] - both)
+            linked &= x[:, None] != y[None, :]
+            nodes += [part["node"].to_numpy(np.int64)[x]] + [part["node"].to_numpy(np.int64)[y]] * bool(i != j)
+            sums += [linked @ rows[y]] + [rows[x] @ linked] * bool(i != j)
+        return pd.DataFrame({"node": np.concatenate(nodes), "n": np.concatenate(sums)})
+
+    return dealt.join(texts, "node").groupBy("g", "i", "j").applyInPandas(count, "node bigint, n bigint")
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each component, the one with the smallest id; all rows without words stay. Rows with a missing or repeated id are numbered after their ids and judged each."""
     plain, restore = masked(docs, text, doc_id)

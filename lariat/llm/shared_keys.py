@@ -14,8 +14,9 @@ from lariat.llm.common import lean, ship
 #: Keys a range holds on average, and keys a task gathers before it sends its blocks.
 RANGE_KEYS = 400_000
 BLOCK_KEYS = 250_000
-#: Keys that a bounded sample of rows finds this often skip the ranges: they are known to be shared, and only their place in the order depends on it.
+#: Keys that a sample of rows finds this often skip the ranges: they are known to be shared, and only their place in the order depends on it. The sample is one row in SAMPLE_PART, and SAMPLE_ROWS at least, so that a key missed stands in few rows beside what a range holds.
 SAMPLE_ROWS = 8_000
+SAMPLE_PART = 10_000
 HOT_IN_SAMPLE = 8
 HOT_KEYS = 50_000
 HOT_COUNT = 1 << 60
@@ -63,9 +64,9 @@ def unpack_values(b: bytes) -> np.ndarray:
 
 
 def hot_keys(rows: DataFrame, emit: Callable[[], Emit], order: str, sample: int = SAMPLE_ROWS) -> np.ndarray:
-    """Frequent keys of at most ``sample`` rows, picked by a hash of the column ``order``; at most HOT_KEYS."""
+    """Frequent keys of a sample of rows, picked by a hash of the column ``order``; at most HOT_KEYS: others stay in their ranges."""
     n = rows.count()
-    part = max(1, n // max(1, sample))
+    part = max(1, n // max(1, sample, n // SAMPLE_PART))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = emit()
