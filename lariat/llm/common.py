@@ -7,13 +7,13 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import StructType
 
 
 #: An Arrow batch has at most so many rows and about so many bytes: the JVM keeps the largest buffers it ever used.
@@ -53,20 +53,36 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_folder(self.spark)}/lariat-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.paths.append(path)
+        return self.split(df)[0]
+
+    def split(self, df: DataFrame, by: str | None = None, values: Iterable[int] = ()) -> list[DataFrame]:
+        """The table, or a part of it for each of the values of the column ``by``, each in a folder of its own."""
+        path, schema = f"{shared_folder(self.spark)}/lariat-{uuid.uuid4().hex}", df.schema
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        del df
         # Shuffle files that the table replaces go once the driver has collected its garbage.
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
+        if by is None:
+            self.paths.append([path])
+            return [self.spark.read.schema(schema).parquet(path)]
+        schema = StructType([f for f in schema.fields if f.name != by])
+        parts = [f"{path}/{by}={v}" for v in values]
+        self.paths += [[p] for p in parts[:-1]] + [[parts[-1], path]]
+        there = self._folder(path)
+        return [self.spark.read.schema(schema).parquet(p) if there.exists(self._path(p)) else self.spark.createDataFrame([], schema) for p in parts]
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _folder(self, path: str):
+        return self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def drop(self) -> None:
-        context = self.spark.sparkContext
-        for path in self.paths:
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-        self.paths.clear()
+    def drop(self, number: int | None = None) -> None:
+        """Delete all tables, or the one with this number in the order of their making."""
+        for paths in self.paths if number is None else [self.paths[number]]:
+            for path in paths:
+                self._folder(path).delete(self._path(path), True)
 
 
 #: A key that holds more than one row in so many is joined by broadcast: no more keys than that can.
@@ -80,6 +96,17 @@ def join_each(left: DataFrame, right: DataFrame, on: list[str], n: str, total: i
     return left.join(few, on).unionByName(left.join(few.select(*on), on, "left_anti").join(right.where(~hot).drop(n), on))
 
 
+def kept_names(keep: list[str], outputs: Iterable[str]) -> list[str]:
+    """Names of kept columns beside an operator's outputs: one that clashes gets underscores at its end until it does not."""
+    names, taken = [], set(outputs)
+    for name in keep:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        names.append(name)
+    return names
+
+
 def masked(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """The rows as doc_id, text and column_0, column_1, ...: no name can clash with an operator's own; and the way back."""
     others = [c for c in docs.columns if c not in (text, doc_id)]
@@ -130,10 +157,8 @@ def with_rids(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     odd = docs.agg(F.count("*").alias("n"), F.count(d).alias("k")).first()
     if odd.n == odd.k and docs.select(d.alias("d")).distinct().count() == odd.n:
         return docs.withColumn("rid", d)
-    ordered = docs.orderBy(d.asc_nulls_first(), F.xxhash64(text))
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    schema = ordered.schema.add("rid", LongType())
-    return materialise(docs.sparkSession.createDataFrame(numbered, schema))
+    # Numbers rise with the partition and the place in it, so they follow the sort; they need not be without gaps.
+    return materialise(docs.orderBy(d.asc_nulls_first(), F.xxhash64(text)).withColumn("rid", F.monotonically_increasing_id()))
 
 
 class WordHashes(dict):

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import materialise, ship
+from lariat.llm.common import kept_names, materialise, ship
 
 #: Winning paths of at most so many hosts are broadcast (some 100 bytes each); more are joined by shuffle.
 BROADCAST_HOSTS = 500_000
@@ -323,11 +323,9 @@ def winning_paths(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
 def extract_text(pages: DataFrame, html: str = "html", url: str = "url", keep: list[str] | None = None, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """The kept columns (default page_id and url), text, n_chars and path (the host's) of every page.
 
-    Null html is empty and gives the empty text; a null url votes under the empty host; repeated pages vote and are extracted each; an empty table gives no rows. Kept columns may have any names but those of the outputs; one named text, n_chars or path would stand twice and is refused. Nothing is cut: very long pages are parsed whole, in time linear in their length, and elements nested to any depth need no recursion.
+    Null html is empty and gives the empty text; a null url votes under the empty host; repeated pages vote and are extracted each; an empty table gives no rows. Kept columns may have any names: one named text, n_chars or path gets an underscore at its end. Nothing is cut: very long pages are parsed whole, in time linear in their length, and elements nested to any depth need no recursion.
     """
     keep = ["page_id", url] if keep is None else keep
-    if clash := {"text", "n_chars", "path"} & set(keep):
-        raise ValueError(f"rename before keeping: {', '.join(sorted(clash))}")
     paths = materialise(winning_paths(pages, html, url).select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("key").alias("__key")))
     small = paths.count() <= broadcast_hosts
     rows = pages.select(*[pages[c].alias(f"k{i}") for i, c in enumerate(keep)], host_of(F.col(url)).alias("__h"), F.col(html).alias("__html"))
@@ -341,4 +339,4 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", keep: l
 
     schema = ", ".join(f"{n} {pages.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
     out = rows.select(*names, "__html", "__path", F.col("__key")).mapInPandas(run, f"{schema}, text string, n_chars bigint, path string")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "text", "n_chars", "path")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, kept_names(keep, ("text", "n_chars", "path")), strict=True)], "text", "n_chars", "path")

@@ -5,9 +5,9 @@ An expression is a word. Its chance in a class is the class's discounted count o
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lariat.llm.common import Scratch, alnum_words, lean, ship
+from lariat.llm.common import Scratch, WordHashes, alnum_words, hash_words, lean, ship
+from lariat.llm.shared_keys import from_planes, pack, planes, unpack
 
 #: Characters of a word's beginning that the spelling models see, its end counting as one.
 DEPTH = 6
@@ -27,8 +28,10 @@ HIGHEST = 4
 CALIBRATION = 20_000
 #: Labels of at most so many rows are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
-#: Rows are read in blocks that end at so many words or rows.
-BLOCK_WORDS, BLOCK_ROWS = 500_000, 20_000
+#: Rows are read in blocks that end at so many words or rows: the larger a block, the fewer words stand in several.
+BLOCK_WORDS, BLOCK_ROWS = 2_000_000, 50_000
+#: Bytes of text for each range of word hashes, and the most ranges; beyond that the blocks meet in groups.
+RANGE_BYTES, MAX_RANGES = 40 << 20, 4096
 #: Softened log-ratios are summed as integers of 1 / SCALE, so that no order of rows matters.
 SCALE = 1 << 30
 #: Counts of a word: in the final model's rows by class, and in the calibration rows among them.
@@ -42,6 +45,11 @@ def bucket(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5))
 
 
+def beginning(word: bytes, depth: int = DEPTH) -> str:
+    """The first ``depth`` characters of the word and its end."""
+    return (word[: 4 * depth].decode("utf-8", "ignore") + END if len(word) < 4 * depth else word.decode("utf-8", "ignore"))[:depth]
+
+
 def soften(ratio: np.ndarray, share: float = TOXIC_SHARE) -> np.ndarray:
     """Log-likelihood ratio of a text whose words are toxic with chance ``share`` to an ordinary one, from the words' own."""
     return np.log1p(share * np.expm1(np.minimum(ratio, 50.0)))
@@ -81,50 +89,130 @@ def _known(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: st
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(known, F.col("id") == F.col("__id"), "left").select("id", "text", "y", F.coalesce(cal, F.lit(False)).alias("cal"))
 
 
-def _blocks(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows of three kinds for each block of texts: its words (word, code in the block, counts), its documents (id, y of a calibration row, n words; code is the place), and one with all (word, document, count), packed."""
+def _ranges(docs: DataFrame, text: str) -> tuple[int, int]:
+    """(ranges of word hashes, groups of blocks): so many that the words of a range and group fit a task."""
+    size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first().b or 0
+    ranges = max(1, min(MAX_RANGES, -(-size // RANGE_BYTES)))
+    return ranges, max(1, -(-size // (RANGE_BYTES * 4 * ranges)))
+
+
+def pack_pairs(code: np.ndarray, doc: np.ndarray, count: np.ndarray, codes: int) -> bytes:
+    """(code, doc, count), sorted by code, in few bytes."""
+    a, b = planes(np.bincount(code, minlength=codes)), planes(doc)
+    return zlib.compress(struct.pack("<2Q", len(a), len(b)) + a + b + planes(count), 1)
+
+
+def unpack_pairs(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    plain = zlib.decompress(packed)
+    a, b = struct.unpack_from("<2Q", plain)
+    each, doc, count = (from_planes(x).astype(np.int64) for x in (plain[16 : 16 + a], plain[16 + a : 16 + a + b], plain[16 + a + b :]))
+    return np.repeat(np.arange(len(each)), each), doc, count
+
+
+def _blocks(rows: DataFrame, ranges: int, scratch: Scratch) -> list[DataFrame]:
+    """Three tables. Words, a row a block of texts and range r: their 64-bit hashes in order, packed; what the vocabulary needs of the same words, beginnings b and counts; and for each block its documents (id, y of a calibration row, n words; code is the place), and a row with all (word, document, count), packed. A block's words are coded by the order of their hashes."""
     id_type = rows.schema["id"].dataType.simpleString()
-    columns = ["block", "code", "word", *COUNTS, "id", "n", "y", "packed"]
+    columns = ["kind", "block", "r", "k", "b", "counts", "code", "id", "n", "y", "packed"]
+    limits = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        texts: list[list[bytes]] = []
+        texts: list[np.ndarray] = []
+        codes, hashes = Codes(), WordHashes()
         block, n_words = TaskContext.get().partitionId() << 32, 0
 
+        def frame(**known) -> pd.DataFrame:
+            return pd.DataFrame({c: known.get(c) for c in columns}, columns=columns)
+
         def flush() -> Iterator[pd.DataFrame]:
-            nonlocal block, n_words
+            nonlocal block, n_words, codes
             if not texts:
                 return
             b = pd.concat(held, ignore_index=True)
             n = np.fromiter(map(len, texts), np.int64, len(texts))
-            codes = Codes()
-            flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum()))
-            pair, count = np.unique(flat << 32 | np.repeat(np.arange(len(texts)), n), return_counts=True)
+            every = list(codes)
+            h = hash_words(every, hashes).view(np.uint64)
+            o = np.argsort(h, kind="stable")
+            rank = np.empty(len(o), np.int64)
+            rank[o] = np.arange(len(o))
+            pair, count = np.unique(rank[np.concatenate(texts)] << 32 | np.repeat(np.arange(len(texts)), n), return_counts=True)
             code, doc = pair >> 32, pair & 0xFFFFFFFF
             y, cal = b["y"].to_numpy(float, na_value=-1), b["cal"].to_numpy(bool)
-            kinds = {"ordinary": y == 0, "toxic": y > 0, "cal_ordinary": cal & (y == 0), "cal_toxic": cal & (y > 0)}
-            counts = {c: np.bincount(code, count * kinds[c][doc], len(codes)).astype(np.int64) for c in COUNTS}
-            packed = zlib.compress(np.bincount(code, minlength=len(codes)).astype("<u4").tobytes() + doc.astype("<u4").tobytes() + count.astype("<u4").tobytes(), 1)
-            every = list(codes)
-            for i in range(0, len(every), 50_000):
-                part = slice(i, i + 50_000)
-                yield pd.DataFrame({"block": block, "code": np.arange(len(every))[part], "word": every[part]} | {c: v[part] for c, v in counts.items()}).reindex(columns=columns)
-            yield pd.DataFrame({"block": block, "code": np.arange(len(texts)), "id": b["id"], "n": n, "y": np.where(cal, y, np.nan)}).reindex(columns=columns)
-            yield pd.DataFrame({"block": [block], "code": [-1], "packed": [packed]}).reindex(columns=columns)
+            kinds = (y == 0, y > 0, cal & (y == 0), cal & (y > 0))
+            counts = np.stack([np.bincount(code, count * kind[doc], len(o)) for kind in kinds]).astype("<i8")
+            h = h[o]
+            cuts = [0, *np.searchsorted(h, limits, "left").tolist(), len(h)]
+            squeezed = [(r, pack(h[i:j]), zlib.compress("\n".join([beginning(every[k]) for k in o[i:j]]).encode(), 1), zlib.compress(counts[:, i:j].tobytes(), 1)) for r, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+            if squeezed:
+                yield frame(kind=0, block=block, **{c: [x[i] for x in squeezed] for i, c in enumerate(("r", "k"))})
+                yield frame(kind=1, block=block, r=[x[0] for x in squeezed], **{c: [x[i + 2] for x in squeezed] for i, c in enumerate(("b", "counts"))})
+            yield frame(kind=2, block=block, code=np.arange(len(texts)), id=b["id"], n=n, y=np.where(cal, y, np.nan))
+            yield frame(kind=2, block=[block], code=[-1], packed=[pack_pairs(code, doc, count, len(o))])
             held.clear()
             texts.clear()
+            codes = Codes()
             block, n_words = block + 1, 0
 
         for batch in batches:
             held.append(batch[["id", "y", "cal"]])
-            new = [alnum_words(t) for t in batch["text"]]
-            texts.extend(new)
-            n_words += sum(map(len, new))
+            for t in batch["text"]:
+                words = alnum_words(t)
+                texts.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
+                n_words += len(words)
             if n_words >= BLOCK_WORDS or len(texts) >= BLOCK_ROWS:
                 yield from flush()
         yield from flush()
 
-    return scratch(rows.mapInPandas(lean(run), f"block bigint, code bigint, word binary, {', '.join(c + ' bigint' for c in COUNTS)}, id {id_type}, n bigint, y double, packed binary"))
+    made = rows.mapInPandas(lean(run), f"kind int, block bigint, r int, k binary, b binary, counts binary, code bigint, id {id_type}, n bigint, y double, packed binary")
+    words, more, texts = scratch.split(made, "kind", (0, 1, 2))
+    return [words.select("block", "r", "k"), more.select("block", "r", "b", "counts"), texts.select("block", "code", "id", "n", "y", "packed")]
+
+
+def _vocabulary(words: DataFrame, more: DataFrame, groups: int, scratch: Scratch) -> DataFrame:
+    """(word, its beginning b, counts) of every word: the blocks' words meet by range, in groups of blocks, and what several groups have is added up."""
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("block")
+        keys, more = group[group["k"].notna()], group[group["k"].isna()]
+        h = np.concatenate([unpack(k) for k in keys["k"]])
+        starts = np.concatenate([np.array(zlib.decompress(x).decode().split("\n"), object) for x in more["b"]])
+        counts = np.concatenate([np.frombuffer(zlib.decompress(x), "<i8").reshape(4, -1) for x in more["counts"]], 1)
+        o = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], h[o][1:] != h[o][:-1])))
+        sums = np.add.reduceat(counts[:, o], first, 1)
+        return pd.DataFrame({"word": h[o][first].view(np.int64), "b": pd.Series(starts[o][first], dtype=object)} | dict(zip(COUNTS, sums, strict=True)))
+
+    met = words.unionByName(more, allowMissingColumns=True).groupBy("r", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("g")).applyInPandas(merge, f"word bigint, b string, {', '.join(c + ' bigint' for c in COUNTS)}")
+    return scratch(met.groupBy("word", "b").agg(*[F.sum(c).alias(c) for c in COUNTS]) if groups > 1 else met)
+
+
+def _found(words: DataFrame, ratios: DataFrame, ranges: int, groups: int) -> DataFrame:
+    """(block, r, f, c) of the blocks' words, packed in their order: each range of ratios meets each group of blocks. c, for the calibration alone, goes in half precision."""
+
+    def lay(group: pd.DataFrame) -> pd.DataFrame:
+        h = group["word"].to_numpy(np.int64).view(np.uint64)
+        o = np.argsort(h)
+        return pd.DataFrame({"r": [int(group["r"].iloc[0])], "words": [pack(h[o])], "found": [group[["f", "c"]].to_numpy(np.float32).T[:, o].tobytes()]})
+
+    limits = [(r << 64) // ranges for r in range(1, ranges)]
+
+    @F.pandas_udf("int")
+    def range_of(word: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(limits, np.uint64), word.to_numpy(np.int64).view(np.uint64), "right").astype(np.int32))
+
+    laid = ratios.withColumn("r", range_of("word")).groupBy("r").applyInPandas(lay, "r int, words binary, found binary")
+    laid = laid.select("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("g"), "words", "found")
+    asked = words.select("r", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("bigint").alias("g"), "block", "k")
+
+    def look(asked: pd.DataFrame, laid: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty:
+            return pd.DataFrame({"block": [], "r": [], "f": [], "c": []})
+        h = unpack(laid["words"].iloc[0])
+        f, c = np.frombuffer(laid["found"].iloc[0], np.float32).reshape(2, -1)
+        at = [np.searchsorted(h, unpack(k)) for k in asked["k"]]
+        return pd.DataFrame({"block": asked["block"], "r": asked["r"], "f": [f[x].tobytes() for x in at], "c": [c[x].astype(np.float16).tobytes() for x in at]})
+
+    return asked.groupBy("r", "g").cogroup(laid.groupBy("r", "g")).applyInPandas(look, "block bigint, r int, f binary, c binary")
 
 
 def _discounts(table: DataFrame) -> tuple[dict[str, float], dict[str, tuple[int, int]]]:
@@ -135,15 +223,13 @@ def _discounts(table: DataFrame) -> tuple[dict[str, float], dict[str, tuple[int,
 
 
 def word_ratios(vocabulary: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
-    """(word, f, c): log P(word | toxic) - log P(word | ordinary) of every word of (word, counts), 0 under a model that lacks a class.
+    """(word, f, c): log P(word | toxic) - log P(word | ordinary) of every word of (word, its beginning b, counts), 0 under a model that lacks a class. What names a word matters not.
 
     The tree has a row a beginning, its children fewer than there are characters; each level is joined to the one above it, so no branch is held by a task.
     """
-    words = vocabulary.select("word", F.col("toxic").alias("f_toxic"), F.col("ordinary").alias("f_ordinary"), (F.col("toxic") - F.col("cal_toxic")).alias("c_toxic"), (F.col("ordinary") - F.col("cal_ordinary")).alias("c_ordinary"))
+    words = vocabulary.select("word", "b", F.col("toxic").alias("f_toxic"), F.col("ordinary").alias("f_ordinary"), (F.col("toxic") - F.col("cal_toxic")).alias("c_toxic"), (F.col("ordinary") - F.col("cal_ordinary")).alias("c_ordinary"))
     d_word, totals = _discounts(words)
-    framed = F.concat(F.col("word").cast("string"), F.lit(END))
-    length = F.least(F.length(framed), F.lit(depth))
-    starts = words.select(F.explode(F.transform(F.sequence(F.lit(1), length), lambda k: F.substring(framed, 1, k))).alias("b"), *[(F.col(m) > 0).cast("int").alias(m) for m in MODELS])
+    starts = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("b")), lambda k: F.substring("b", 1, k))).alias("b"), *[(F.col(m) > 0).cast("int").alias(m) for m in MODELS])
     tree = scratch(starts.groupBy("b").agg(F.count("*").alias("all"), *[F.sum(m).alias(m) for m in MODELS]).withColumn("level", F.length("b")))
     d_tree, _ = _discounts(tree)
 
@@ -168,32 +254,30 @@ def word_ratios(vocabulary: DataFrame, scratch: Scratch, depth: int = DEPTH) ->
         return F.log((F.greatest(F.col(m) - d_word[m], F.lit(0.0)) + d_word[m] * kinds * spelling) / n)
 
     ratio = lambda m: (chance(f"{m}_toxic") - chance(f"{m}_ordinary") if totals[f"{m}_toxic"][0] and totals[f"{m}_ordinary"][0] else F.lit(0.0)).cast("float").alias(m)
-    return scratch(words.withColumn("b", F.substring(framed, 1, depth)).join(ends, "b").select("word", ratio("f"), ratio("c")))
+    return scratch(words.join(ends, "b").select("word", ratio("f"), ratio("c")))
 
 
 def text_ratios(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, calibration: int) -> DataFrame:
     """(id, y, n, and for f, the final model, and c, the one without the calibration rows: mean, soft, top) of every row; y is null but for calibration rows. mean: mean log-ratio of the words; soft: mean of the softened ones; top: mean of the HIGHEST highest ones. Texts without words have zeros."""
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
-    blocks = _blocks(_known(docs, labels, text, doc_id, label, calibration), scratch)
-    words = scratch(blocks.where("word is not null").groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]))
-    ratios = word_ratios(words, scratch)
-    nothing = [F.lit(None).cast("float").alias(c) for c in ("f", "c")]
+    ranges, groups = _ranges(docs, text)
+    words, more, texts = _blocks(_known(docs, labels, text, doc_id, label, calibration), ranges, scratch)
+    vocabulary = _vocabulary(words, more, groups, scratch)
+    scratch.drop(1)
+    found = scratch(_found(words, word_ratios(vocabulary, scratch), ranges, groups))
+    scratch.drop(0)
     kind = docs.select(F.col(doc_id).alias("d")).schema["d"].dataType
-    parts = blocks.where("word is not null").select("block", "code", "word").join(ratios, "word")
-    parts = parts.select("block", "code", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("binary").alias("packed"), "f", "c")
-    parts = parts.unionByName(blocks.where("word is null").select("block", "code", "id", "n", "y", "packed", *nothing))
+    parts = texts.unionByName(found, allowMissingColumns=True)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        plain = zlib.decompress(bytes(group.loc[group["code"] < 0, "packed"].iloc[0]))
-        known = group[group["f"].notna()].sort_values("code")
+        code, doc, count = unpack_pairs(group.loc[group["code"] < 0, "packed"].iloc[0])
+        ratios = group[group["r"].notna()].sort_values("r")
+        known = [np.frombuffer(b"".join(ratios[c]), kind).astype(np.float64) for c, kind in (("f", np.float32), ("c", np.float16))]
         texts = group[group["n"].notna()].sort_values("code")
-        k, n = len(known), texts["n"].to_numpy(np.int64)
-        u = np.frombuffer(plain, "<u4").astype(np.int64)
-        code, (doc, count) = np.repeat(np.arange(k), u[:k]), u[k:].reshape(2, -1)
+        n = texts["n"].to_numpy(np.int64)
         out = {"id": texts["id"], "y": texts["y"], "n": n}
-        for c in ("f", "c"):
-            r = known[c].to_numpy(np.float64)
+        for c, r in zip(("f", "c"), known, strict=True):
             for name, value in (("mean", r), ("soft", soften(r))):
                 total = np.zeros(len(n), np.int64)
                 np.add.at(total, doc, np.rint(value * SCALE).astype(np.int64)[code] * count)
