@@ -155,15 +155,17 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     nodes = table.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.min("low").alias("low"), F.count("*").alias("rows"))
     of_row = table.where("node is not null").groupBy("rid").agg(F.min("node").alias("node"), F.min("size").alias("size"))
 
-    published = materialise(_publish(read, of_row, (table.agg(F.sum("size").alias("s")).first().s or 0) * 0.5))
+    published = scratch(_publish(read, of_row, (table.agg(F.sum("size").alias("s")).first().s or 0) * 0.5))
     total = published.count()
     met = published.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    published = materialise(join_each(published, met, ["key"], "n", total))
+    published = scratch(join_each(published, met, ["key"], "n", total))
+    scratch.drop(1)
     keys = published.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("hub"))
 
     members = published.select("node").distinct()
-    texts = _packed_texts(rows, members)
-    sketches = materialise(read.select(F.col("rid").alias("node"), "sketch").join(members, "node").dropDuplicates(["node"]))
+    sketches = scratch(read.select(F.col("rid").alias("node"), "sketch").join(members, "node").dropDuplicates(["node"]))
+    scratch.drop(0)
+    texts = _packed_texts(rows, members, scratch)
     tested = roots = None  # roots: node -> root so far
     for most in (0, *NEAREST):
         if most == 0:
@@ -308,7 +310,7 @@ def _near(state: DataFrame, total: int, sketches: DataFrame, most: int | None) -
     return near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def _packed_texts(rows: DataFrame, members: DataFrame) -> DataFrame:
+def _packed_texts(rows: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, z): compressed texts of the classes that have candidates."""
 
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -316,7 +318,7 @@ def _packed_texts(rows: DataFrame, members: DataFrame) -> DataFrame:
             yield pd.DataFrame({"node": b["rid"], "z": [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in b["text"]]})
 
     packed = rows.select("rid", "text").mapInPandas(lean(squeeze), "node bigint, z binary")
-    return materialise(packed.join(members, "node").dropDuplicates(["node"]))
+    return scratch(packed.join(members, "node").dropDuplicates(["node"]))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
