@@ -137,7 +137,12 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of each pattern (rows of symbols, padded on the right); empty where it doesn't occur ``least`` times: such a search ends at the step that shows it."""
+        return self.matching(patterns, lengths, least)[1:]
+
+    def matching(self, patterns: np.ndarray, lengths: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(matching statistic, lo, hi): how many of each pattern's last words occur together ``least`` times, by steps of backward search; and the suffix interval of those that match whole, else an empty one."""
         m = len(patterns)
+        matched = np.zeros(m, np.int64)
         lo, hi = np.zeros(m, np.int64), np.full(m, self.n, np.int64)
         for step in range(int(lengths.max(initial=0))):
             live = np.flatnonzero((lengths > step) & (hi > lo))
@@ -148,7 +153,8 @@ class FMIndex:
             gone = s == 0
             gone |= b - a < least
             lo[live], hi[live] = np.where(gone, 0, a), np.where(gone, 0, b)
-        return lo, hi
+            matched[live] += ~gone
+        return matched, lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffix rows: walk back to a sampled one."""

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import WordHashes, hash_words, lean, masked, materialise, mix, rolling, ship, space_words, with_rids
+from lariat.llm.common import Scratch, WordHashes, hash_words, join_each, lean, masked, mix, rolling, ship, space_words, with_rids
 from lariat.llm.decontamination import cut_words, spans_of
 from lariat.llm.fm_index import FMIndex
 from lariat.llm.shared_keys import shared_keys
@@ -47,7 +47,10 @@ def stretches(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np
 
 
 def search_stretches(words: list[np.ndarray], window: int = WINDOW, chunk: int = 100_000) -> tuple[np.ndarray, np.ndarray, FMIndex, np.ndarray, np.ndarray]:
-    """(places of later copies, places of first copies of all distinct windows, index, digests of the distinct windows). Places are in the index's text, whose order is that of the stretches."""
+    """(places of later copies, places of first copies of all distinct windows, index, digests of the distinct windows, symbols). Places are in the index's text, whose order is that of the stretches.
+
+    Every distinct end of a window is streamed through backward search for its matching statistic, up to the threshold: what goes beyond it decides nothing.
+    """
     index = FMIndex(words)
     lengths = np.array([len(w) for w in words], np.int64)
     n = lengths - window + 1
@@ -62,18 +65,21 @@ def search_stretches(words: list[np.ndarray], window: int = WINDOW, chunk: int =
     later = []
     for i in range(0, len(first), chunk):
         p = flat[first[i : i + chunk, None] + np.arange(window)]
-        lo, hi = index.search(p, np.full(len(p), window), least=2)
-        which, found = index.occurrences(lo, hi)
+        # Above the threshold is where the words that end here occur twice for a whole window.
+        matched, lo, hi = index.matching(p, np.full(len(p), window), least=2)
+        above = np.flatnonzero(matched >= window)
+        which, found = index.occurrences(lo[above], hi[above])
         if len(which):
-            least = np.full(len(p), index.n)
+            least = np.full(len(above), index.n)
             np.minimum.at(least, which, found)
             later.append(found[found != least[which]])
     return np.concatenate(later) if later else np.empty(0, np.int64), first, index, digest, flat
 
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(rows: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
     """(rid, spans) of the word windows that start earlier too, from (rid, text) with distinct rids whose order decides. Documents without such windows have no row."""
     ship(rows.sparkSession)
+    scratch = scratch or Scratch(rows.sparkSession)
 
     def emit():
         cache = WordHashes()
@@ -87,14 +93,14 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         return keys_of
 
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    shared = materialise(shared_keys(rows, emit, ["rid", "first", "more", "digest"], size / 40, "rid").drop("n"))
-    kinds = materialise(shared.groupBy("key", "digest", "more").agg(F.min(F.struct("rid", "first")).alias("head"), F.count("*").alias("n")))
+    shared = scratch(shared_keys(rows, emit, ["rid", "first", "more", "digest"], size / 40, "rid").drop("n"))
+    kinds = scratch(shared.groupBy("key", "digest", "more").agg(F.min(F.struct("rid", "first")).alias("head"), F.count("*").alias("n")))
     # Of identical stretches all but the earliest go whole.
-    copies = shared.join(kinds.where("n > 1").select("key", "digest", "more", "head"), ["key", "digest", "more"]).where((F.col("rid") != F.col("head.rid")) | (F.col("first") != F.col("head.first")))
+    copies = join_each(shared, kinds.where("n > 1"), ["key", "digest", "more"], "n", shared.count()).where((F.col("rid") != F.col("head.rid")) | (F.col("first") != F.col("head.first")))
     spans = copies.select("rid", "first", (F.col("first") + F.col("more") + window).alias("end"))
 
     several = kinds.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    heads = kinds.join(several, "key").select("key", "k", "head.rid", "head.first", "more")
+    heads = join_each(kinds.drop("n"), several.withColumn("n", F.col("k")), ["key"], "n", kinds.count()).select("key", "k", "head.rid", "head.first", "more")
     total = heads.agg(F.sum(F.col("more") + window).alias("w")).first().w or 0
     if total:
         shards = -(-total // SHARD_WORDS)
@@ -132,7 +138,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
             return out
 
         packed = _squeezed(rows).join(wanted, "rid").mapInPandas(lean(words_of), "shard bigint, rid bigint, first bigint, words binary")
-        found = materialise(packed.groupBy("shard").applyInPandas(search, "rid bigint, first bigint, end bigint, d1 bigint, d2 bigint, head boolean"))
+        found = scratch(packed.groupBy("shard").applyInPandas(search, "rid bigint, first bigint, end bigint, d1 bigint, d2 bigint, head boolean"))
         spans = spans.unionByName(found.where("not head").select("rid", "first", "end"))
         met = found.where("head")
         firsts = met.groupBy("d1", "d2").agg(F.min(F.struct("rid", "first")).alias("h"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "h")
@@ -163,10 +169,11 @@ def flags_of(n: int, spans) -> np.ndarray:
 def dedup_digest(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, removed) for every row; removed lists the runs of words taken out.
 
-    Null and empty texts have no words and the digest of the empty text; texts under ``window`` words lose nothing. Of repeated rows the later ones lose every window.
+    Null and empty texts have no words and the digest of the empty text; texts under ``window`` words lose nothing; texts of any length are taken whole. Rows with a null doc_id come first, then by id; of repeated rows the later ones lose every window. An empty table gives no rows. Other columns are ignored whatever their names.
     """
+    scratch = Scratch(docs.sparkSession)
     rows = with_rids(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id")
-    spans = repeated_spans(rows.select("rid", "text"), window)
+    spans = repeated_spans(rows.select("rid", "text"), window, scratch)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -180,7 +187,9 @@ def dedup_digest(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
 
     joined = _squeezed(rows, ["doc_id"]).join(spans, "rid", "left")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "z", "spans").mapInPandas(lean(digest), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, removed array<struct<first: bigint, end: bigint>>")
+    out = Scratch(docs.sparkSession)(joined.select("doc_id", "z", "spans").mapInPandas(lean(digest), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, removed array<struct<first: bigint, end: bigint>>"))
+    scratch.drop()
+    return out
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -196,6 +205,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, s in zip(texts, spans, strict=True):
+            if s is None:  # Spark calls for all rows, whatever the condition
+                out.append(t)
+                continue
             gone = flags_of(len(_WORD.findall(t)), s)
             out.append(None if gone.all() else cut_words(t, spans_of(gone), _WORD))
         return pd.Series(out)
