@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import WordHashes, alnum_words, hash_words, lean, masked, ship
+from lariat.llm.common import WordHashes, alnum_words, hash_words, kept_names, lean, masked, ship
 from lariat.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -48,23 +49,26 @@ def windows_of(rows: list[tuple[str | None, str | None]], window: int = WINDOW)
     return Windows(np.array(words, np.int64).reshape(-1, window), np.array(lengths, np.int64), np.searchsorted(which, np.arange(len(words) + 1)), np.array([p[1] for p in pairs], np.int64), [r[0] or "" for r in rows])
 
 
-def search_shard(hashes: list[np.ndarray], w: Windows) -> tuple[np.ndarray, list[list[int]], np.ndarray, np.ndarray]:
-    """(hit words of each document, items found in each, hit flags over the text, documents' starts in it)."""
+def search_shard(hashes: list[np.ndarray], blocks: Iterable[Windows]) -> tuple[np.ndarray, list[list[str]], np.ndarray, np.ndarray]:
+    """(hit words of each document, ids of the items found in each, sorted, hit flags over the text, documents' starts in it). The shard is indexed once, and each block of windows searched in it."""
     index = FMIndex(hashes)
-    symbols = index.symbols(w.words)
-    lo, hi = index.search(symbols, w.lengths)
-    which, at = index.occurrences(lo, hi)
     edges = np.zeros(index.n + 1, np.int64)
-    np.add.at(edges, at, 1)
-    np.add.at(edges, at + w.lengths[which], -1)
+    found: list[list[str]] = [[] for _ in hashes]
+    for w in blocks:
+        lo, hi = index.search(index.symbols(w.words), w.lengths)
+        which, at = index.occurrences(lo, hi)
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + w.lengths[which], -1)
+        doc = np.searchsorted(index.starts, at, "right") - 1
+        pair = np.unique(doc * max(1, len(w.lengths)) + which)
+        items: dict[int, set[int]] = {}
+        for d, k in zip((pair // max(1, len(w.lengths))).tolist(), pair % max(1, len(w.lengths)), strict=True):
+            items.setdefault(d, set()).update(w.items[w.item_starts[k] : w.item_starts[k + 1]].tolist())
+        for d, numbers in items.items():
+            found[d] += [w.ids[i] for i in numbers]
     hit = np.cumsum(edges[:-1]) > 0
     n_hit = np.add.reduceat(np.append(hit, False).astype(np.int64), index.starts)
-    doc = np.searchsorted(index.starts, at, "right") - 1
-    found: list[list[int]] = [[] for _ in hashes]
-    pair = np.unique(doc * max(1, len(w.lengths)) + which)
-    for d, k in zip(pair // max(1, len(w.lengths)), pair % max(1, len(w.lengths)), strict=True):
-        found[d] += w.items[w.item_starts[k] : w.item_starts[k + 1]].tolist()
-    return n_hit, [sorted(set(x)) for x in found], hit, index.starts
+    return n_hit, [sorted(x) for x in found], hit, index.starts
 
 
 def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -76,20 +80,25 @@ def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
 _SCHEMA = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<first: int, end: int>>"
 
 
-def _scan(docs: DataFrame, w: Windows, text: str, keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(w)
+def _scan(docs: DataFrame, blocks: list[Broadcast], text: str, keep: list[str]) -> DataFrame:
     size = SHARD_WORDS
+    names = [f"k{i}" for i in range(len(keep))]
+
+    def windows() -> Iterator[Windows]:
+        for b in blocks:
+            yield b.value
+            if len(blocks) > 1 and hasattr(b, "_value"):
+                del b._value  # a worker holds one block at a time
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, cache = shared.value, WordHashes()
+        cache = WordHashes()
 
         def flush(kept: list[pd.DataFrame], hashes: list[np.ndarray]) -> pd.DataFrame:
             out = pd.concat(kept, ignore_index=True)
-            n_hit, found, hit, starts = search_shard(hashes, w)
+            n_hit, found, hit, starts = search_shard(hashes, windows())
             out["n_words"] = [len(h) for h in hashes]
             out["n_hit"] = n_hit
-            out["items"] = [sorted({(w.ids[i], i) for i in x}) for x in found]
-            out["items"] = [[i for i, _ in x] for x in out["items"]]
+            out["items"] = found
             out["spans"] = [[{"first": a, "end": b} for a, b in spans_of(hit[s : s + len(h)])] if n else [] for s, h, n in zip(starts, hashes, n_hit, strict=True)]
             return out
 
@@ -102,48 +111,37 @@ def _scan(docs: DataFrame, w: Windows, text: str, keep: list[str]) -> DataFrame:
                 hashes.append(hash_words(alnum_words(t), cache))
                 words += len(hashes[-1]) + 1
                 if words >= size:
-                    kept.append(batch.iloc[first : i + 1][keep])
+                    kept.append(batch.iloc[first : i + 1][names])
                     yield flush(kept, hashes)
                     kept, hashes, words, first = [], [], 0, i + 1
             if first < len(batch):
-                kept.append(batch.iloc[first:][keep])
+                kept.append(batch.iloc[first:][names])
         if hashes:
             yield flush(kept, hashes)
 
-    chosen = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return chosen.mapInPandas(lean(shards), f"{schema}, {_SCHEMA}")
+    chosen = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)], docs[text].alias("__text"))
+    schema = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(keep, names, strict=True))
+    outputs = ("n_words", "n_hit", "items", "spans")
+    return chosen.mapInPandas(lean(shards), f"{schema}{_SCHEMA}").select(*[F.col(n).alias(c) for n, c in zip(names, kept_names(keep, outputs), strict=True)], *outputs)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The kept columns (default doc_id), n_words, n_hit, items (ids, sorted), spans (hit runs of words) for every row.
 
-    No shuffle: each task indexes its rows in shards of about SHARD_WORDS words (a longer document is a shard of its own) and searches them. The benchmark's size is checked first; it is sent out in blocks of at most ``block_bytes`` (one long item may exceed that), and with more than one block the passes chain, spans and items united by row.
-    Null texts and items without words have no windows; a null item_id reads as the empty text in ``items``; repeated item_ids are listed as often as their items hit. An empty benchmark finds nothing. Repeated rows are judged alike; columns named like the outputs must not be kept.
+    No shuffle: each task indexes its rows in shards of about SHARD_WORDS words (a longer document is a shard of its own) and searches them. The benchmark's size is checked first; it is sent out in blocks of at most ``block_bytes`` (one long item may exceed that), and every shard is indexed once and meets one block after the other.
+    Null texts and items without words have no windows; texts of any length are searched whole; a null item_id reads as the empty text in ``items``; repeated item_ids are listed as often as their items hit. An empty benchmark finds nothing, an empty table gives no rows. Repeated rows are judged alike; other columns may have any names, and a kept one named like an output gets an underscore at its end.
     """
     ship(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t")).alias("b")).first().b or 0
     blocks = max(1, -(-total // block_bytes))
-    out = None
+    context = docs.sparkSession.sparkContext
+    sent = []
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        w = windows_of([(r.i, r.t) for r in part.collect()])
-        if out is None:
-            out = _scan(docs, w, text, [*keep, *([text] if blocks > 1 and text not in keep else [])])
-            continue
-        old = ["n_words", "n_hit", "items", "spans"]
-        held = out.withColumnsRenamed({c: f"__{c}" for c in old})
-        new = _scan(held, w, text, held.columns)
-        spans = F.concat("__spans", "spans")
-        cells = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["end"] - 1))))
-        runs = lambda c: F.transform(F.filter(F.sort_array(c), lambda p: ~F.array_contains(c, p - 1)), lambda p: p)
-        ends = lambda c: F.filter(F.sort_array(c), lambda p: ~F.array_contains(c, p + 1))
-        merged = F.zip_with(runs(cells), ends(cells), lambda a, e: F.struct(a.alias("first"), (e + 1).alias("end")))
-        out = new.select(*[c for c in new.columns if c not in old and not c.startswith("__")], "n_words", F.size(cells).cast("bigint").alias("n_hit"), F.sort_array(F.concat("__items", "items")).alias("items"), merged.alias("spans"))
-    return out.select(*keep, "n_words", "n_hit", "items", "spans")
-
+        sent.append(context.broadcast(windows_of([(r.i, r.t) for r in part.collect()])))
+    return _scan(docs, sent, text, keep)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]], word: re.Pattern = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")) -> str:
@@ -166,5 +164,3 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
         return pd.Series([cut_words(t, [(s["first"], s["end"]) for s in x]) if len(x) else t for t, x in zip(texts, spans, strict=True)])
 
     return restore(found.withColumn("text", F.when(F.col("n_hit") > 0, cut("text", "spans")).otherwise(F.col("text"))))
-
-
