@@ -32,7 +32,7 @@ TEMPLATES = (
 
 LONG = 8  # words from which a template is voted on with K_LONG-grams
 K_SHORT, K_LONG = 2, 4
-DRIFT = 3  # diagonals at most this far apart are one match (inserted or lost words)
+DRIFT = 8  # diagonals at most this far apart are one match (inserted or lost words)
 COVERAGE = 0.6
 
 
@@ -52,7 +52,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     """(summary, spans). Templates are parameters of bounded size (a few hundred words), which is all that is broadcast.
 
     summary, one row an input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. spans: doc_id, label, first, last (words from 0, inclusive), coverage.
-    Null or empty text: no words, no labels, score 0. Rows equal in doc_id and text get equal results; a null doc_id is an id like others. score is the best coverage of a template by votes, 1 if a phrase stands.
+
+    Neighbouring diagonals are one island; its span is verified around the diagonal with most votes: coverage is the share of the template's words that stand there, each in its place to DRIFT words and counted once, however often the text repeats them. score is the best coverage, 1 if a phrase stands.
+    Null or empty text: no words, no labels, score 0. Texts of any length are read whole; a k-gram that no template has is gone before any shuffle. Rows equal in doc_id and text get equal results; a null doc_id is an id like others. An empty table gives no rows. Other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     grams = materialise(template_grams(spark, phrases, templates))
@@ -76,15 +78,19 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     # Rows equal in id and text vote once.
     voters = base.where(F.size("hits") > 0).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.inline("hits"))
     votes = voters.withColumn("h", F.xxhash64("gram")).join(F.broadcast(grams), ["k", "h", "gram"])
-    diagonals = votes.groupBy("doc_id", "key", "template", "label", "grams", "exact", "k", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    diagonals = votes.groupBy("doc_id", "key", "template", "label", "grams", "exact", "k", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("tpos").alias("there"))
     # A phrase stands where one diagonal has all its votes.
     places = diagonals.where("exact and n = grams")
-    order = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
+    template = ["doc_id", "key", "template"]
+    order = Window.partitionBy(*template).orderBy("diagonal")
     merged = diagonals.where("not exact").withColumn("new", (F.col("diagonal") - F.lag("diagonal", 1, -(1 << 30)).over(order) > DRIFT).cast("int"))
     merged = merged.withColumn("island", F.sum("new").over(order))
-    merged = merged.groupBy("doc_id", "key", "label", "template", "grams", "k", "island").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-    share = F.least(F.lit(1.0), F.col("n") / F.col("grams"))
-    spans = merged.select("doc_id", "key", "label", "first", (F.col("last") + F.col("k") - 1).alias("last"), F.when(F.col("last") - F.col("first") < F.lit(1.5) * F.col("grams"), share).otherwise(F.lit(0.0)).alias("coverage"), F.lit(False).alias("exact"))
+    main = F.max_by("diagonal", F.struct(F.col("n"), -F.col("diagonal"))).over(Window.partitionBy(*template, "island"))
+    near = merged.withColumn("main", main).where(F.abs(F.col("diagonal") - F.col("main")) <= DRIFT)
+    near = near.groupBy(*template, "label", "grams", "k", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("there"))).alias("there"))
+    # The template's words that some k-gram has found, of all its words.
+    words = F.size(F.array_distinct(F.flatten(F.transform("there", lambda t: F.sequence(t, t + F.col("k") - 1)))))
+    spans = near.select("doc_id", "key", "label", "first", (F.col("last") + F.col("k") - 1).alias("last"), (words / (F.col("grams") + F.col("k") - 1)).alias("coverage"), F.lit(False).alias("exact"))
     spans = spans.unionByName(places.select("doc_id", "key", "label", "first", (F.col("last") + F.col("k") - 1).alias("last"), F.lit(1.0).alias("coverage"), F.lit(True).alias("exact")))
     names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     found = spans.groupBy("doc_id", "key").agg(
