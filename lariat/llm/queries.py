@@ -8,8 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: No SQL: each of these operators samples, learns, hashes or tokenises; tests hold them against brute force.
+#: The exact contracts that DuckDB can compute; the others sample, learn, hash or tokenise, and tests hold them against brute force.
 SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE_WORDS = r"'[^\x20\x09-\x0D]+'"
+_ALNUM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+SQL["op6_ngram_jaccard"] = f"""with recursive d as (select doc_id, regexp_extract_all({_LOWER}, {_SPACE_WORDS}) as w from documents),
+    s as (select distinct doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') as g from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as t(i) where len(w) > 0),
+    n as (select doc_id, count(*) as n from s group by 1),
+    pairs as (select a.doc_id as x, b.doc_id as y, count(*) as both_n from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+    link as (select x, y from pairs join n a on a.doc_id = x join n b on b.doc_id = y where 100 * both_n >= 80 * (a.n + b.n - both_n)),
+    reach(x, c) as (select doc_id, doc_id from d union select l.x, r.c from reach r join link l on l.y = r.x),
+    component as (select x as doc_id, min(c) as component_id from reach group by 1), k as (select x as doc_id, count(*) as k from link group by 1)
+    select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, coalesce(k, 0)::bigint as n_links from d join component using (doc_id) left join n using (doc_id) left join k using (doc_id)"""
+SQL["op7_decontamination"] = f"""with d as (select doc_id, regexp_extract_all({_LOWER}, {_ALNUM_WORDS}) as w from documents),
+    i as (select row_number() over () as k, coalesce(cast(item_id as varchar), '') as id, regexp_extract_all({_LOWER}, {_ALNUM_WORDS}) as w from benchmark),
+    g as (select distinct k, least(10, len(w)) as l, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') as g from i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as t(s) where len(w) > 0),
+    p as (select doc_id, l, s, array_to_string(w[s:s + l - 1], ' ') as g from d, (select distinct l from g), unnest(range(1, len(w) - l + 2)) as t(s)),
+    h as (select doc_id, s, l, k from p join g using (l, g)),
+    hit as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(s, s + l)) as pos from (select distinct doc_id, s, l from h)) group by 1),
+    found as (select doc_id, count(*) as n, string_agg(id, ',' order by id) as ids from (select distinct doc_id, k, id from h join i using (k)) group by 1)
+    select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join hit using (doc_id) left join found using (doc_id)"""
+SQL["op8_substring_dedup"] = f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_SPACE_WORDS}) as w from documents),
+    p as (select doc_id, s, array_to_string(w[s:s + 19], ' ') as g from d, unnest(range(1, len(w) - 18)) as t(s)),
+    later as (select doc_id, s from (select doc_id, s, row_number() over (partition by g order by doc_id, s) as r from p) where r > 1),
+    gone as (select distinct doc_id, unnest(range(s, s + 20)) as pos from later),
+    every as (select doc_id, pos, w[pos] as x from d, unnest(range(1, len(w) + 1)) as t(pos)),
+    kept as (select doc_id, count(*) as n, string_agg(x, ' ' order by pos) as t from every anti join gone using (doc_id, pos) group by 1)
+    select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)"""
 
 
 def query(f):
@@ -55,7 +82,7 @@ def op7_decontamination(spark, d):
 def op5_token_counts(spark, d):
     from lariat.llm.token_counts import count_tokens
 
-    return count_tokens(table(spark, d, "documents").select("doc_id", "text"))
+    return count_tokens(table(spark, d, "documents").select("doc_id", "lang", "source", "text"), ["lang", "source", "text"], sections="sentences")
 
 
 @query
