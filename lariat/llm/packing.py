@@ -19,7 +19,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Lengths enter the program in steps of UNIT tokens, rounded up: at most CAPACITY / UNIT kinds, whatever the corpus.
 UNIT = 8
 GAP = 0.0005  # the program stops this close to its bound
-ROWS_A_RANK = 50_000
+ROWS_A_RANK = 1_000
 MAX_SALTS = 1024
 
 
@@ -177,7 +177,7 @@ def first_fit(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tupl
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, limit: int = 3000) -> list[tuple[np.ndarray, int]]:
     """Patterns (copies of each size) and how often each is used, covering the demand exactly.
 
-    Revised simplex on the covering program: duals price a knapsack whose best pattern enters; it ends when none costs less, at Farley's bound within ``gap``, or after ``limit`` columns. Uses are rounded down; what is left is packed first-fit decreasing.
+    Revised simplex on the covering program: duals price a knapsack whose best pattern enters; it ends when none costs less, at Farley's bound within ``gap``, or after ``limit`` columns: then the patterns so far are used, which cover all demand, with more padding than the bound allows. Uses are rounded down; what is left is packed first-fit decreasing.
     """
     m = len(sizes)
     if not m:
@@ -232,7 +232,7 @@ def assignment(sizes: np.ndarray, patterns: list[tuple[np.ndarray, int]]) -> dic
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Documents longer than half a sequence give full pieces, a half piece if the rest is longer, and the rest; nothing else is cut. Null and empty texts are the end id alone; equal rows are packed each; empty input gives no rows. The driver holds the histogram (capacity / unit rows, times up to MAX_SALTS rank groups) and the patterns; ranks are dealt in salted groups, so no length gathers in one task.
+    Documents longer than half a sequence give full pieces, a half piece if the rest is longer, and the rest; nothing else is cut. Null and empty texts are the end id alone; texts of any length are encoded whole; equal rows, and rows of one or no doc_id, are packed each; empty input gives no rows; other columns are ignored whatever their names. The driver holds the histogram (capacity / unit rows, times up to MAX_SALTS rank groups) and the patterns; ranks are dealt in salted groups, so no length gathers in one task.
     """
     spark = docs.sparkSession
     pieces = materialise(token_pieces(docs, text, doc_id, path, capacity).withColumn("unit", F.ceil(F.col("length") / unit).cast("int")))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import materialise
+from lariat.llm.common import kept_names, masked, materialise, store
 from lariat.llm.native import SPACE, SPACE_WORD, let, shift_left, shift_right, space_words, up_to
 
 FEATURES = ("n_words", "mean_chars", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "shout_share", "stop_share")
@@ -178,18 +178,20 @@ def _learn(stats: DataFrame, labels: DataFrame, doc_id: str, **learning) -> list
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, **learning) -> tuple[DataFrame, list[Rule]]:
     """The kept columns (default doc_id), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule (0: none), kept; and the rules.
 
-    One row an input row; null text has no words, so it fails the base rule; a null or repeated doc_id is scored like others and learns by every label of its id; without labels the list is empty. Columns of the input named like the output's are left out unless kept.
+    One row an input row, equal rows alike; null text has no words, so it fails the base rule; texts of any length are counted whole, in n log n; a null or repeated doc_id is scored like others and learns by every label of its id (the worst counts); without labels the list is empty; an empty table gives no rows. Columns of the input are left out unless kept; a kept one named like an output gets an underscore at its end.
     """
     keep = [doc_id] if keep is None else keep
+    outputs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
     stats = materialise(statistics(docs, text, keep=sorted({*keep, doc_id}, key=docs.columns.index)))
     rules = _learn(stats, labels, doc_id, **learning)
     fired = verdict(rules)
-    out = stats.select(*[F.col("row").getField(c).alias(c) for c in keep], *[F.col(f"s.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed().alias("base_failed"), fired.alias("rule"), (~base_failed() & (fired == 0)).alias("kept"))
+    out = stats.select(*[F.col("row").getField(c).alias(n) for c, n in zip(keep, kept_names(keep, outputs), strict=True)], *[F.col(f"s.{c}").alias(c) for c in outputs[:5]], base_failed().alias("base_failed"), fired.alias("rule"), (~base_failed() & (fired == 0)).alias("kept"))
     return out, rules
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **learning) -> DataFrame:
-    """The rows that neither the base rules nor the learned list reject, with all their columns."""
-    stats = materialise(statistics(docs, text))
-    rules = _learn(stats, labels, doc_id, **learning)
-    return stats.where(~base_failed() & (verdict(rules) == 0)).select("row.*")
+    """The rows that neither the base rules nor the learned list reject, with all their columns, whatever their names; null, empty and short texts fail. Equal rows are kept or rejected together."""
+    plain, restore = masked(docs, text, doc_id)
+    stats = store(statistics(plain))
+    rules = _learn(stats, labels, "doc_id", **learning)
+    return restore(stats.where(~base_failed() & (verdict(rules) == 0)).select("row.*"))
