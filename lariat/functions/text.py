@@ -21,7 +21,6 @@ ACADEMIC_LEVELS = {
     "Ensino Medio Incompleto": "Ensino Médio Incompleto",
     "Ensino Tecnico Completo": "Ensino Técnico Completo",
     "Ensino Tecnico Cursando": "Ensino Técnico Cursando",
-    "Ensino Superior Cursando ": "Ensino Superior Cursando",
     "Pos Graduacao": "Pós-Graduação",
     "Pos Graduacao Cursando": "Pós-Graduação Cursando",
     "Doutorado Cursando": "Doutorado (Cursando)",

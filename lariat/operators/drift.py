@@ -67,3 +67,9 @@ def drift_html(report: DataFrame) -> str:
 
     cells = lambda tag, row: "<tr>" + "".join(f"<{tag}>{escape(str(x))}</{tag}>" for x in row) + "</tr>"
     return "<table>" + cells("th", report.columns) + "".join(cells("td", r) for r in report.orderBy("column").collect()) + "</table>"
+
+
+def write_drift_html(report: DataFrame, path: str) -> None:
+    """The table as one text file in the folder ``path``, at any URI that Spark writes to."""
+    page = report.sparkSession.createDataFrame([(drift_html(report),)], "html string")
+    page.coalesce(1).write.mode("overwrite").text(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lariat.functions.text import OTHER, UNKNOWN, fill_unknown, title_case
+from lariat.functions.text import ACADEMIC_LEVELS, OTHER, UNKNOWN, fill_unknown, remap, title_case
 
 
 def categorical_features(df: DataFrame) -> list[str]:
@@ -44,10 +44,16 @@ def bucket_rare(df: DataFrame, column: str, n: int = 20, other: str = OTHER, fit
     return joined.select(*[F.coalesce(F.col("__top"), F.lit(other)).alias(c) if c == column else F.col(c) for c in df.columns])
 
 
+def remap_academic_level(df: DataFrame, column: str = "nivel_academico") -> DataFrame:
+    """Spelling variants of the cleaned academic level as one value; a frame without the column stays as it is."""
+    return df.withColumn(column, remap(F.col(column), ACADEMIC_LEVELS)) if column in df.columns else df
+
+
 def prepare_features(df: DataFrame, normalize: bool = True, rare_top_n: int | None = 20, rare_columns: Sequence[str] = ("cliente", "area_atuacao"), fit_on: DataFrame | None = None) -> DataFrame:
-    """Both preparation styles in one place: cleaning and bucketing on (exploratory) or off (production)."""
-    out = normalize_categories(df) if normalize else df
-    fit = None if fit_on is None else normalize_categories(fit_on) if normalize else fit_on
+    """Both preparation styles in one place: cleaning (with the academic levels' remap) and bucketing on (exploratory) or off (production)."""
+    clean = lambda x: remap_academic_level(normalize_categories(x)) if normalize else x
+    out = clean(df)
+    fit = None if fit_on is None else clean(fit_on)
     for c in rare_columns if rare_top_n is not None else ():
         out = bucket_rare(out, c, rare_top_n, fit_on=fit)
     return out

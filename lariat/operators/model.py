@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lariat.functions.text import round_half_even
 from lariat.operators.features import categorical_features, drop_column
 from lariat.operators.label import FEATURES
 from lariat.operators.ranking import top_k
@@ -91,7 +92,7 @@ def score_one(spark: SparkSession, model: PipelineModel, record: Mapping[str, st
         raise ValueError(f"missing or not text: {', '.join(bad)}")
     schema = StructType([StructField(c, StringType()) for c in features])
     row = spark.createDataFrame([tuple(record[c] for c in features)], schema)
-    return predict(model, row).select(F.bround(PROBABILITY, 8).alias("p")).first().p
+    return predict(model, row).select(round_half_even(F.col(PROBABILITY)).alias("p")).first().p
 
 
 def train_and_evaluate(df: DataFrame, key: str, columns: Sequence[str] | None = None, model=None, target: str = "target", weight: str | None = None) -> tuple[PipelineModel, DataFrame]:

@@ -37,7 +37,7 @@ def class_counts(df: DataFrame, target: str = "target") -> DataFrame:
 
 def class_ratio(df: DataFrame, target: str = "target") -> DataFrame:
     """majority / minority, at least 1; an error unless there are two classes."""
-    counts = _known(df, target).groupBy(target).agg(F.count("*").alias("n"))
+    counts = class_counts(df, target)
     two = F.when(F.count("*") == 2, F.max("n") / F.min("n")).otherwise(F.raise_error(F.lit("exactly two classes are needed")).cast("double"))
     return counts.agg(two.alias("ratio"))
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructType
 from lariat.operators.shape import flatten_prospects, merge_all
 from lariat.sources.keyed_json import JOBS, PROSPECTS, read_keyed_json
 
+# Tokens that read as missing.
 NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 MODEL_PATH = "models/modelo_priorizacao_xgb"
 
@@ -31,26 +32,34 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
-def read_applicants(spark: SparkSession, path: str, key: str = "__index_level_0__", position: str | None = None) -> DataFrame:
-    """Applicants with a ``pos`` column. Raw keys must be unique (an error is raised otherwise). Without a position column the order is that of a single file's rows."""
-    df = spark.read.parquet(path)
+def read_applicants(spark: SparkSession, path: str, key: str = "__index_level_0__", position: str | None = None, lazy: bool = False) -> DataFrame:
+    """Applicants with a ``pos`` column. Raw keys must be unique: otherwise an error is raised here, or with ``lazy`` when the rows are read, and no job runs before. Without a position column the order is that of a single file's rows; with several files one is required, for their order says nothing."""
+    df = read_parquet(spark, path)
+    if position is None and len(df.inputFiles()) > 1:
+        raise ValueError("several files: name a position column")
+    df = df.withColumn("pos", F.col(position).cast("bigint") if position else F.monotonically_increasing_id())
+    if lazy:
+        packed = df.groupBy(F.col(key).alias("__key")).agg(F.first(F.struct(*df.columns)).alias("__row"), F.count("*").alias("__n"))
+        once = F.when(F.col("__n") == 1, F.col("__row")).otherwise(F.raise_error(F.lit(f"{key} is not unique")))
+        return packed.select(once.alias("__row")).select("__row.*")
     worst = df.groupBy(key).count().agg(F.max("count")).first()[0]
     if worst is not None and worst > 1:
         raise ValueError(f"{key} is not unique")
-    return df.withColumn("pos", F.col(position).cast("bigint") if position else F.monotonically_increasing_id())
+    return df
 
 
-def load_raw(spark: SparkSession, base: str, applicant_key: str = "__index_level_0__") -> RawTables:
+def load_raw(spark: SparkSession, base: str, applicant_key: str = "__index_level_0__", applicant_position: str | None = None) -> RawTables:
+    """The three raw inputs under ``base``; nothing is read before the frames are used."""
     return RawTables(
         read_keyed_json(spark, f"{base}/jobs.json", JOBS),
         read_keyed_json(spark, f"{base}/prospects.json", PROSPECTS),
-        read_applicants(spark, f"{base}/applicants.parquet", applicant_key),
+        read_applicants(spark, f"{base}/applicants.parquet", applicant_key, applicant_position, lazy=True),
     )
 
 
-def load_and_merge(spark: SparkSession, base: str, save: str | None = None, applicant_key: str = "__index_level_0__") -> DataFrame:
+def load_and_merge(spark: SparkSession, base: str, save: str | None = None, applicant_key: str = "__index_level_0__", applicant_position: str | None = None) -> DataFrame:
     """Raw inputs to the merged table; with ``save``, also written there as CSV."""
-    raw = load_raw(spark, base, applicant_key)
+    raw = load_raw(spark, base, applicant_key, applicant_position)
     merged = merge_all(raw.jobs, raw.applicants, flatten_prospects(raw.prospects), applicant_key)
     if save:
         write_csv(merged, save)
@@ -65,8 +74,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, na_values
     return df.select(*[F.when(~F.col(f.name).isin(*na_values), F.col(f.name)).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name) for f in df.schema.fields])
 
 
-def write_csv(df: DataFrame, path: str, files: int | None = 1) -> None:
-    """A folder of CSV files with headers; one file by default (``None``: as many as partitions, for large tables)."""
+def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
+    """A folder of CSV files with headers; as many as partitions, or ``files`` (1 sends a large table through one task)."""
     out = df.coalesce(files) if files else df
     out.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
 

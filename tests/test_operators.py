@@ -57,11 +57,14 @@ def test_features(spark):
     with pytest.raises(ValueError):
         features.drop_column(df, "nope")
     assert features.drop_column(df, "nope", must_exist=False).columns == ["c"]
+    levels = spark.createDataFrame([(" pos graduacao",), ("Doutorado cursando",), ("outro",), (None,)], "nivel_academico string")
+    assert [r[0] for r in features.prepare_features(levels, rare_top_n=None).collect()] == ["Pós-Graduação", "Doutorado (Cursando)", "Outro", "Desconhecido"]
+    assert features.prepare_features(levels, normalize=False, rare_top_n=None).collect() == levels.collect()
     two = df.select(F.col("c").alias("cliente"), F.col("c").alias("area_atuacao"))
     assert features.prepare_features(two, rare_top_n=3).select("cliente").distinct().count() == 4
 
 
-def test_drift(spark):
+def test_drift(spark, tmp_path):
     a = spark.createDataFrame([("x", 1.0)] * 5 + [("y", 3.0)] * 5, "c string, v double")
     b = spark.createDataFrame([("z", 9.0)] * 4, "c string, v double")
     rep = {r.column: r for r in drift.drift_report(a, b).collect()}
@@ -69,6 +72,8 @@ def test_drift(spark):
     assert {r.statistic for r in drift.drift_report(a, a).collect()} == {0.0}
     assert drift.dataset_drift(drift.drift_report(a, b)).first().drifted
     assert drift.drift_html(drift.drift_report(a, b)).startswith("<table>")
+    drift.write_drift_html(drift.drift_report(a, b), str(tmp_path / "page"))
+    assert spark.read.text(str(tmp_path / "page"), wholetext=True).first()[0].startswith("<table>")
     keyed = spark.range(100).withColumn("c", F.lit("k"))
     assert not run_drift(keyed, "id").first().drifted
 

@@ -60,6 +60,30 @@ def test_duplicate_applicants_fail(spark, tmp_path):
         read_applicants(spark, str(tmp_path / "a.parquet"))
 
 
+def test_lazy_applicants(spark, tmp_path):
+    pd.DataFrame({"a": [1, 2]}, index=["x", "x"]).to_parquet(tmp_path / "a.parquet")
+    lazy = read_applicants(spark, str(tmp_path / "a.parquet"), lazy=True)
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        lazy.collect()
+    for i in (0, 1):
+        pd.DataFrame({"a": [i]}, index=[f"x{i}"]).to_parquet(tmp_path / f"part{i}.parquet")
+    (tmp_path / "many").mkdir()
+    for i in (0, 1):
+        (tmp_path / f"part{i}.parquet").rename(tmp_path / "many" / f"part{i}.parquet")
+    with pytest.raises(ValueError):
+        read_applicants(spark, str(tmp_path / "many"))
+    assert sorted(r.pos for r in read_applicants(spark, str(tmp_path / "many"), position="a", lazy=True).collect()) == [0, 1]
+
+
+def test_training_command(spark, base, capsys):
+    from lariat.plans.training import main
+
+    rows = {str(i): {"prospects": [{"codigo": str(i), "situacao_candidado": "Proposta Aceita" if i % 3 else "Desistiu"}]} for i in range(30)}
+    write(base / "prospects.json", json.dumps(rows))
+    main([str(base), "--kind", "lr", "--model", str(base / "model"), "--table", str(base / "table"), "--drift", str(base / "drift")])
+    assert "weighted avg" in capsys.readouterr().out and all((base / x).exists() for x in ("model", "table", "drift"))
+
+
 def test_dedupe_last(spark):
     df = spark.createDataFrame([("123", 0, "a"), ("123", 1, "b"), (None, 2, "c")], "k string, pos int, v string")
     assert sorted((r.v for r in dedupe_last(df, "k", "pos").collect())) == ["b", "c"]
