@@ -13,6 +13,31 @@ SQL: dict[str, str] = {}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE_WORDS = r"'[^\x20\x09-\x0D]+'"
 _ALNUM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _license_sql() -> str:
+    """The license scan over the same templates: votes, islands of diagonals, distinct words around each island's main diagonal."""
+    from lariat.llm.licenses import COVERAGE, DRIFT, K_LONG, K_SHORT, LONG, PHRASES, TEMPLATES
+
+    every = [*PHRASES, *TEMPLATES]
+    values = ", ".join(f"({n}, '{text}', '{label}', {n < len(PHRASES)}, {K_SHORT if n < len(PHRASES) or len(text.split()) < LONG else K_LONG})" for n, (text, label) in enumerate(every))
+    names = lambda c: f"coalesce(string_agg(distinct label, ',' order by label) filter ({c}), '')"
+    return f"""with t(template, text, label, exact, k) as (values {values}), tw as (select template, label, exact, k, string_split(text, ' ') as w from t),
+    g as (select template, label, exact, k, i as tpos, array_to_string(w[i + 1:i + k], ' ') as gram, len(w) - k + 1 as grams from tw, unnest(range(0, len(w) - k + 1)) as x(i)),
+    d as (select doc_id, regexp_extract_all({_LOWER}, {_ALNUM_WORDS}) as w from documents),
+    p as (select doc_id, k, i as pos, array_to_string(w[i + 1:i + k], ' ') as gram from d, (select distinct k from t), unnest(range(0, len(w) - k + 1)) as x(i)),
+    dg as (select doc_id, template, label, exact, grams, k, pos - tpos as diagonal, count(*) as n, min(pos) as first, max(pos) as last, list(distinct tpos) as there from p join g using (k, gram) group by all),
+    places as (select doc_id, label, first, 1.0::double as coverage, true as exact from dg where exact and n = grams),
+    steps as (select *, cast(diagonal - lag(diagonal, 1, -1073741824) over (partition by doc_id, template order by diagonal) > {DRIFT} as int) as new from dg where not exact),
+    islands as (select *, sum(new) over (partition by doc_id, template order by diagonal) as island from steps),
+    mains as (select *, first_value(diagonal) over (partition by doc_id, template, island order by n desc, diagonal) as main from islands),
+    near as (select doc_id, template, label, grams, k, island, min(first) as first, flatten(list(there)) as there from mains where abs(diagonal - main) <= {DRIFT} group by doc_id, template, label, grams, k, island),
+    spans as (select doc_id, label, first, len(list_distinct(flatten(list_transform(there, lambda x: range(x, x + k)))))::double / (grams + k - 1) as coverage, false as exact from near union all select * from places),
+    found as (select doc_id, count(*) filter (exact) as n_base, min(first) filter (exact) as first_word, max(first) filter (exact) as last_word, {names("exact")} as base_labels, {names(f"coverage >= {COVERAGE}::double")} as labels, max(coverage) as score from spans group by 1)
+    select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score from d left join found using (doc_id)"""
+
+
+SQL["op2_licenses"] = _license_sql()
 SQL["op6_ngram_jaccard"] = f"""with recursive d as (select doc_id, regexp_extract_all({_LOWER}, {_SPACE_WORDS}) as w from documents),
     s as (select distinct doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') as g from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as t(i) where len(w) > 0),
     n as (select doc_id, count(*) as n from s group by 1),
