@@ -101,12 +101,12 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return 0.0 if p <= 0 else p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
 
 
-def learn_rules(labelled: DataFrame, label: str = "quality", s: str = "s", thresholds: int = 40, max_rules: int = 8, max_conditions: int = 3, precision: float = 0.9, min_cover: float = 0.003) -> list[Rule]:
+def learn_rules(labelled: DataFrame, label: str = "quality", s: str = "s", thresholds: int = 40, max_rules: int = 8, max_conditions: int = 3, precision: float = 0.9, min_cover: float = 0.003, split: Column | None = None) -> list[Rule]:
     """Rules that reject (label 0). All labelled rows count; every step is one combined aggregate of at most features x thresholds rows.
 
-    Growing (two thirds of the rows, by hash): add the condition with the best FOIL gain while it gains. Pruning (the rest): keep the prefix with the best (bad - good) / (bad + good). A rule stays if its precision on the pruning rows, with two pseudo-rows, reaches ``precision`` and it covers ``min_cover`` of the bad rows there; else learning ends.
+    Growing (two thirds of the rows, by ``split``, a hash of the row's id, or of its statistics): add the condition with the best FOIL gain while it gains. Pruning (the rest): keep the prefix with the best (bad - good) / (bad + good). A rule stays if its precision on the pruning rows, with two pseudo-rows, reaches ``precision`` and it covers ``min_cover`` of the bad rows there; else learning ends.
     """
-    rows = labelled.where(F.col(label).isNotNull()).select(s, (F.col(label) == 0).alias("bad"), (F.pmod(F.xxhash64(s, label), F.lit(3)) > 0).alias("grow"))
+    rows = labelled.where(F.col(label).isNotNull()).select(s, (F.col(label) == 0).alias("bad"), (F.pmod(F.xxhash64(s, label) if split is None else split, F.lit(3)) > 0).alias("grow"))
     grid = rows.agg(*[F.percentile_approx(F.col(f"{s}.{f}").cast("double"), [i / thresholds for i in range(thresholds + 1)], 2000).alias(f) for f in FEATURES]).first()
     # Thresholds lie midway between neighbouring quantiles.
     found = {f: sorted(set(grid[f] or [])) for f in FEATURES}
@@ -172,7 +172,8 @@ def learn_rules(labelled: DataFrame, label: str = "quality", s: str = "s", thres
 
 def _learn(stats: DataFrame, labels: DataFrame, doc_id: str, **learning) -> list[Rule]:
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("quality"))
-    return learn_rules(stats.where(~base_failed()).join(known, F.col("row").getField(doc_id) == F.col("__id")), **learning)
+    # By id, not by statistics: rows of equal statistics must stand on both sides.
+    return learn_rules(stats.where(~base_failed()).join(known, F.col("row").getField(doc_id) == F.col("__id")), split=F.xxhash64(F.col("__id").cast("string")), **learning)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, **learning) -> tuple[DataFrame, list[Rule]]:

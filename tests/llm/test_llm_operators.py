@@ -251,6 +251,35 @@ def attribution_brute(fields, kind, rule, enc):
     return [(*s, x) for s, x in zip(sections, n, strict=True)]
 
 
+def test_op4_learns_an_ordered_list(spark):
+    """Bad rows of three kinds, one a conjunction: held-out rows are judged by two rules or more, each with the number of the first that fires."""
+    from lariat.llm.quality import quality_rules, verdict
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    kinds = {
+        "good": lambda: [word(5) for _ in range(80)],
+        "symbols": lambda: [word(5) + ("$" if rng.random() < 0.6 else "") for _ in range(80)],
+        "shouts": lambda: [word(5) + ("!" if rng.random() < 0.6 else "") for _ in range(80)],
+        # Long texts are good, and so are texts of long words; long texts of long words are bad.
+        "long": lambda: [word(5) for _ in range(400)],
+        "wide": lambda: [word(12) for _ in range(80)],
+        "both": lambda: [word(12) for _ in range(400)],
+    }
+    names = ["good", "good", "symbols", "shouts", "long", "wide", "both", "both"]
+    texts = {i: (names[i % 8], " ".join(kinds[names[i % 8]]())) for i in range(1600)}
+    bad = {i: k in ("symbols", "shouts", "both") for i, (k, _) in texts.items()}
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in texts.items()], "doc_id bigint, text string")
+    out, rules = quality_rules(docs, spark.createDataFrame([(i, int(not b)) for i, b in bad.items() if i // 8 % 2], "doc_id bigint, quality int"))
+    assert len(rules) >= 2 and any(len(r) > 1 for r in rules)
+    held = [r for r in out.collect() if r.doc_id // 8 % 2 == 0]
+    assert sum(r.kept != bad[r.doc_id] for r in held) > 0.98 * len(held) and len({r.rule for r in held}) > 2
+    s = {"n_words": 400.0, "mean_chars": 6.0, "symbol_share": 0.6, "dup_line_share": 0.0, "repeat_share": 0.0, "upper_share": 0.0, "shout_share": 0.6, "stop_share": 0.0}
+    both = spark.createDataFrame([(s,)], "s struct<" + ", ".join(f"{k}: double" for k in s) + ">")
+    fires = [k + 1 for k, rule in enumerate(rules) if all((s[c.feature] >= c.threshold) == c.above for c in rule)]
+    assert len(fires) >= 2 and both.select(verdict(rules).alias("v")).first().v == fires[0]
+
+
 @pytest.mark.parametrize("rule", ["majority", "start", "end"])
 @pytest.mark.parametrize("kind", ["lines", "sentences"])
 def test_op5(spark, corpus, rule, kind):
