@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -19,6 +21,7 @@ from pyspark.sql.types import StructType
 #: An Arrow batch has at most so many rows and about so many bytes: the JVM keeps the largest buffers it ever used.
 ARROW_ROWS = 250
 ARROW_BYTES = 4 << 20
+ROW_GROUP = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,7 +61,9 @@ class Scratch:
     def split(self, df: DataFrame, by: str | None = None, values: Iterable[int] = ()) -> list[DataFrame]:
         """The table, or a part of it for each of the values of the column ``by``, each in a folder of its own."""
         path, schema = f"{shared_folder(self.spark)}/lariat-{uuid.uuid4().hex}", df.schema
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        # A writer holds a row group in memory: small ones leave room for the Python workers.
+        write = df.write.option("parquet.block.size", ROW_GROUP)
+        (write.partitionBy(by) if by else write).parquet(path)
         del df
         # Shuffle files that the table replaces go once the driver has collected its garbage.
         gc.collect()
@@ -122,7 +127,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_lariat_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(), "lariat_workers.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "lariat_workers.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import Scratch, WordHashes, hash_words, join_each, lean, masked, mix, rolling, ship, space_words, with_rids
+from lariat.llm.common import WordHashes, hash_words, join_each, lean, masked, materialise, mix, rolling, ship, space_words, with_rids
 from lariat.llm.decontamination import cut_words, spans_of
 from lariat.llm.fm_index import FMIndex
 from lariat.llm.shared_keys import shared_keys
@@ -76,10 +76,9 @@ def search_stretches(words: list[np.ndarray], window: int = WINDOW, chunk: int =
     return np.concatenate(later) if later else np.empty(0, np.int64), first, index, digest, flat
 
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
+def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rid, spans) of the word windows that start earlier too, from (rid, text) with distinct rids whose order decides. Documents without such windows have no row."""
     ship(rows.sparkSession)
-    scratch = scratch or Scratch(rows.sparkSession)
 
     def emit():
         cache = WordHashes()
@@ -93,8 +92,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, scratch: Scratch | Non
         return keys_of
 
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    shared = scratch(shared_keys(rows, emit, ["rid", "first", "more", "digest"], size / 40, "rid").drop("n"))
-    kinds = scratch(shared.groupBy("key", "digest", "more").agg(F.min(F.struct("rid", "first")).alias("head"), F.count("*").alias("n")))
+    shared = materialise(shared_keys(rows, emit, ["rid", "first", "more", "digest"], size / 40, "rid").drop("n"))
+    kinds = materialise(shared.groupBy("key", "digest", "more").agg(F.min(F.struct("rid", "first")).alias("head"), F.count("*").alias("n")))
     # Of identical stretches all but the earliest go whole.
     copies = join_each(shared, kinds.where("n > 1"), ["key", "digest", "more"], "n", shared.count()).where((F.col("rid") != F.col("head.rid")) | (F.col("first") != F.col("head.first")))
     spans = copies.select("rid", "first", (F.col("first") + F.col("more") + window).alias("end"))
@@ -138,7 +137,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, scratch: Scratch | Non
             return out
 
         packed = _squeezed(rows).join(wanted, "rid").mapInPandas(lean(words_of), "shard bigint, rid bigint, first bigint, words binary")
-        found = scratch(packed.groupBy("shard").applyInPandas(search, "rid bigint, first bigint, end bigint, d1 bigint, d2 bigint, head boolean"))
+        found = materialise(packed.groupBy("shard").applyInPandas(search, "rid bigint, first bigint, end bigint, d1 bigint, d2 bigint, head boolean"))
         spans = spans.unionByName(found.where("not head").select("rid", "first", "end"))
         met = found.where("head")
         firsts = met.groupBy("d1", "d2").agg(F.min(F.struct("rid", "first")).alias("h"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "h")
@@ -171,9 +170,8 @@ def dedup_digest(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
 
     Null and empty texts have no words and the digest of the empty text; texts under ``window`` words lose nothing; texts of any length are taken whole. Rows with a null doc_id come first, then by id; of repeated rows the later ones lose every window. An empty table gives no rows. Other columns are ignored whatever their names.
     """
-    scratch = Scratch(docs.sparkSession)
     rows = with_rids(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id")
-    spans = repeated_spans(rows.select("rid", "text"), window, scratch)
+    spans = repeated_spans(rows.select("rid", "text"), window)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -187,9 +185,7 @@ def dedup_digest(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
 
     joined = _squeezed(rows, ["doc_id"]).join(spans, "rid", "left")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = Scratch(docs.sparkSession)(joined.select("doc_id", "z", "spans").mapInPandas(lean(digest), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, removed array<struct<first: bigint, end: bigint>>"))
-    scratch.drop()
-    return out
+    return joined.select("doc_id", "z", "spans").mapInPandas(lean(digest), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, removed array<struct<first: bigint, end: bigint>>")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
