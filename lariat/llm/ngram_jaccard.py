@@ -18,8 +18,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Up to this size a shingle is a block of its own.
 SMALL = 32
-#: After the star around hubs: how many of the nearest texts, by sketch, of each other component are verified in each round; the last round takes all.
-NEAREST = (2, 16, None)
+#: After the star around hubs: how many of the nearest texts, by sketch, of each other component are verified in each round; then all that are left meet by blocks.
+NEAREST = (2, 16)
 #: A bucket is compared in blocks of at most so many texts outside its largest component by so many texts.
 BLOCK = (2_000, 20_000)
 #: Links are counted in blocks of about so many texts and shingles of a component.
@@ -122,7 +122,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     Texts without words (null, empty, white space) have no shingles and link with nothing. Equal sets (exact copies, and repeated rows) are one class, joined once. doc_id must be integral; rows with a null doc_id are members of classes like others, and a class of null ids alone has a null component. If an id repeats with different texts, hashes stand in for ids while joining. Texts of any length are taken whole. An empty table gives no rows. Other columns are ignored whatever their names.
 
-    Nothing about all documents reaches the driver. A block that one class alone holds goes no further; each class publishes its rarest blocks only, as many as exactness needs, so a passage or line that many texts share yields candidates only where texts have little else. A bucket is first tried as a star around one member; then texts of different components are compared by sketch, and the nearest are verified until none is left. Links stand inside components only: there they are counted by products of incidence matrices, block by block, and no pair is a row.
+    Nothing about all documents reaches the driver. A block that one class alone holds goes no further; each class publishes its rarest blocks only, as many as exactness needs, so a passage or line that many texts share yields candidates only where texts have little else. A bucket is first tried as a star around one member; then texts of different components are compared by sketch and the nearest verified; what sketches still allow after that is settled by products of incidence matrices, block by block, of which a task gives a spanning forest. Links stand inside components only: there they are counted by such products, and no pair is a row.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -174,8 +174,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             pairs = pairs.where((F.col("x") != F.col("y")) & (100 * F.least("sx", "sy") >= PERCENT * F.greatest("sx", "sy"))).groupBy("x", "y").agg(F.count("*").alias("votes"))
             pairs = pairs.groupBy("x").agg(F.max_by("y", F.struct("votes", "y")).alias("y"))
         else:
-            state = published.withColumn("root", F.col("node")) if roots is None else published.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").drop("__n").withColumn("root", F.coalesce("root", "node"))
-            pairs = _near(state, total, sketches, most)
+            pairs = _near(_rooted(published, roots), total, sketches, most)
             pairs = pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti")
         pairs = materialise(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -184,11 +183,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         found = materialise(_verify(pairs, texts))
         if not found.take(1):
             continue
-        # Roots so far stand for the links so far.
-        edges = found.select(F.col("x").alias("u"), F.col("y").alias("v"))
-        if roots is not None:
-            edges = edges.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = connected(edges)
+        roots = _joined(found.select(F.col("x").alias("u"), F.col("y").alias("v")), roots)
+    left = materialise(_near(_rooted(published, roots), total, sketches, None))
+    if left.take(1):
+        found = materialise(_forest(left, texts))
+        if found.take(1):
+            roots = _joined(found, roots)
     component, n_links = nodes.select("node", F.lit(None).cast("bigint").alias("component")), F.lit(None).cast("bigint")
     if roots is not None:
         every = materialise(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
@@ -212,6 +212,18 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return out
 
 
+def _rooted(published: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The published keys with each text's root so far."""
+    if roots is None:
+        return published.withColumn("root", F.col("node"))
+    return published.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").drop("__n").withColumn("root", F.coalesce("root", "node"))
+
+
+def _joined(edges: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Roots after further links; roots so far stand for the links so far."""
+    return connected(edges if roots is None else edges.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
+
 def _key_bytes(s: np.ndarray) -> tuple[bytes, bytes]:
     """The blocks of a set as six bytes each, and (band, blocks) of each of its bands."""
     if not len(s):
@@ -256,7 +268,7 @@ def _publish(read: DataFrame, of_row: DataFrame, total: float) -> DataFrame:
 
 
 def _near(state: DataFrame, total: int, sketches: DataFrame, most: int | None) -> DataFrame:
-    """(x, y), x < y: pairs of a bucket in different components whose sizes and sketches allow a link; of each text and component the ``most`` nearest (None: all).
+    """(x, y), x < y: pairs of a bucket in different components whose sizes and sketches allow a link; of each text and component the ``most`` nearest. Without ``most`` no pairs, but the texts that are in any: (bucket, node, size, root).
 
     Buckets with the same least member are one, so texts with many blocks in common meet once. Only texts outside a bucket's largest component are compared, with all of the bucket, inside tasks of bounded blocks: pairs that the sketches rule out are never rows.
     """
@@ -284,6 +296,7 @@ def _near(state: DataFrame, total: int, sketches: DataFrame, most: int | None) -
         return pd.concat([nothing, *(one_bucket(part) for _, part in group.groupby("bucket", sort=False))])
 
     def one_bucket(group: pd.DataFrame) -> pd.DataFrame:
+        bucket, seen = group["bucket"].iloc[0], np.zeros(len(group), bool)
         size = min(map(len, group["sketch"]))
         bits = np.stack([fold(z, size) for z in group["sketch"]])
         node, n, root = (group[c].to_numpy(np.int64) for c in ("node", "size", "root"))
@@ -299,14 +312,20 @@ def _near(state: DataFrame, total: int, sketches: DataFrame, most: int | None) -
                 starts = np.flatnonzero(np.concatenate(([True], root[fits][1:] != root[fits][:-1])))
                 rank = np.arange(len(fits)) - np.repeat(starts, np.diff(np.append(starts, len(fits))))
                 fits, far = fits[rank < most], far[rank < most]
-            if len(fits):
+            if most is None:
+                seen[fits] = True
+                seen[x] |= len(fits) > 0
+            elif len(fits):
                 out.append(np.stack((np.full(len(fits), node[x]), node[fits], root[fits], far), 1))
+        if most is None:
+            return pd.DataFrame({"x": node[seen], "y": n[seen], "r": root[seen], "far": bucket})
         return pd.DataFrame(np.concatenate(out), columns=["x", "y", "r", "far"]) if out else nothing
 
     near = dealt.groupBy("g", "i", "j").applyInPandas(compare, "x bigint, y bigint, r bigint, far bigint").distinct()
-    if most is not None:
-        best = near.groupBy("x", "r").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "y"))), 1, most).alias("best"))
-        near = best.select("x", F.explode("best").alias("p")).select("x", "p.y")
+    if most is None:
+        return near.select(F.col("far").alias("bucket"), F.col("x").alias("node"), F.col("y").alias("size"), F.col("r").alias("root"))
+    best = near.groupBy("x", "r").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "y"))), 1, most).alias("best"))
+    near = best.select("x", F.explode("best").alias("p")).select("x", "p.y")
     return near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
@@ -344,53 +363,87 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.mapInPandas(lean(check), "x bigint, y bigint")
 
 
-def _count_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, n): of each class of (node, root, size, rows), partial sums of the rows of the other classes that it links with.
-
-    Two texts that link are in one component, so a component's texts meet block by block, each pair of blocks in a task of its own; small components share tasks. Common shingles are counted for a whole block at once, as a product of incidence matrices over the shingles that two texts or more have.
-    """
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+def _block_pairs(members: DataFrame, group: str, texts: DataFrame) -> DataFrame:
+    """The members of each group dealt to the pairs (i, j), i <= j, of its blocks, with their texts; b is a member's own block. Small groups share a task."""
+    sizes = members.groupBy(group).agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("n") / LINK_BLOCK[0], F.col("shingles") / LINK_BLOCK[1])).cast("int").alias("blocks")
     total = members.count()
     groups = max(1, total // 1_000)
-    dealt = join_each(members, sizes.select("root", "n", blocks), ["root"], "n", total).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Block pairs (i, j), i <= j: one with itself, and with each other one.
+    dealt = join_each(members, sizes.select(group, "n", blocks), [group], "n", total).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("b", k.cast("int")).alias("i"), F.greatest("b", k.cast("int")).alias("j")))
-    one = F.col("blocks") == 1
-    dealt = dealt.select("node", "root", "rows", "b", F.when(one, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("root"), 1)).alias("g"), F.inline(pairs))
-
-    def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Shingles that each of the sets a and each of the sets b have in common."""
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        number = np.cumsum(times > 1) - 1
-        there = times[column] > 1
-        row, column = row[there], number[column[there]]
-        o = np.argsort(column, kind="stable")
-        row, column = row[o], column[o]
-        out = np.zeros((len(a), len(b)), np.int64)
-        for first in range(0, int(column[-1]) + 1 if len(column) else 0, LINK_COLUMNS):
-            lo, hi = np.searchsorted(column, (first, first + LINK_COLUMNS))
-            used = np.zeros((len(sets), min(LINK_COLUMNS, int(column[-1]) + 1 - first)), np.float32)
-            used[row[lo:hi], column[lo:hi] - first] = 1
-            out += (used[a] @ used[b].T).astype(np.int64)
-        return out
+    g = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(group), F.lit(groups))).otherwise(-1 - F.shiftrightunsigned(F.xxhash64(group), 1)).alias("g")
+    return dealt.select(*members.columns, "b", g, F.inline(pairs)).join(texts, "node")
+
+
+def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles each of the sets a and each of the sets b have in common: a product of incidence matrices over the shingles that two sets or more have."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    there = times[column] > 1
+    row, column = row[there], number[column[there]]
+    o = np.argsort(column, kind="stable")
+    row, column = row[o], column[o]
+    out = np.zeros((len(a), len(b)), np.int64)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for first in range(0, width, LINK_COLUMNS):
+        lo, hi = np.searchsorted(column, (first, first + LINK_COLUMNS))
+        used = np.zeros((len(sets), min(LINK_COLUMNS, width - first)), np.float32)
+        used[row[lo:hi], column[lo:hi] - first] = 1
+        out += (used[a] @ used[b].T).astype(np.int64)
+    return out
+
+
+def _linked_blocks(group: pd.DataFrame, by: str) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """For each group of the task: its members, the places of its block i and of its block j, which of them link, and whether these are two blocks."""
+    cache = WordHashes()
+    for _, part in group.groupby(by, sort=False):
+        sets = [shingle_set(zlib.decompress(z).decode("utf-8", "surrogatepass"), cache) for z in part["z"]]
+        size, b, i, j = np.array([len(s) for s in sets]), part["b"].to_numpy(), part["i"].iloc[0], part["j"].iloc[0]
+        x, y = np.flatnonzero(b == i), np.flatnonzero(b == j)
+        both = _common(sets, x, y)
+        linked = 100 * both >= PERCENT * (size[x, None] + size[None, y] - both)
+        yield part, x, y, linked & (x[:, None] != y[None, :]), bool(i != j)
+
+
+def _count_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, n): of each class of (node, root, size, rows), partial sums of the rows of the other classes that it links with. Two texts that link are in one component, so a component's texts meet block by block, each pair of blocks in a task of its own."""
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        cache, nodes, sums = WordHashes(), [], []
-        for _, part in group.groupby("root", sort=False):
-            sets = [shingle_set(zlib.decompress(z).decode("utf-8", "surrogatepass"), cache) for z in part["z"]]
-            size, rows = np.array([len(s) for s in sets]), part["rows"].to_numpy(np.int64)
-            b, i, j = part["b"].to_numpy(), part["i"].iloc[0], part["j"].iloc[0]
-            x, y = np.flatnonzero(b == i), np.flatnonzero(b == j)
-            both = common(sets, x, y)
-            linked = 100 * both >= PERCENT * (size[x, None] + size[None, y] - both)
-            linked &= x[:, None] != y[None, :]
-            nodes += [part["node"].to_numpy(np.int64)[x]] + [part["node"].to_numpy(np.int64)[y]] * bool(i != j)
-            sums += [linked @ rows[y]] + [rows[x] @ linked] * bool(i != j)
+        nodes, sums = [], []
+        for part, x, y, linked, two in _linked_blocks(group, "root"):
+            node, rows = part["node"].to_numpy(np.int64), part["rows"].to_numpy(np.int64)
+            nodes += [node[x]] + [node[y]] * two
+            sums += [linked @ rows[y]] + [rows[x] @ linked] * two
         return pd.DataFrame({"node": np.concatenate(nodes), "n": np.concatenate(sums)})
 
-    return dealt.join(texts, "node").groupBy("g", "i", "j").applyInPandas(count, "node bigint, n bigint")
+    return _block_pairs(members, "root", texts).groupBy("g", "i", "j").applyInPandas(count, "node bigint, n bigint")
+
+
+def _forest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): links between texts of (bucket, node, size, root) with different roots, as many as connect what links connect: fewer than the texts of a task."""
+
+    def connect(group: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for part, x, y, linked, _ in _linked_blocks(group, "bucket"):
+            node, root = part["node"].to_numpy(np.int64), part["root"].to_numpy(np.int64)
+            linked &= root[x][:, None] != root[y][None, :]
+            above: dict[int, int] = {}
+
+            def top(r: int, above: dict[int, int] = above) -> int:
+                while r in above:
+                    above[r] = above.get(above[r], above[r])
+                    r = above[r]
+                return r
+
+            for a, b in zip(*(k.tolist() for k in np.nonzero(linked)), strict=True):
+                p, q = top(int(root[x[a]])), top(int(root[y[b]]))
+                if p != q:
+                    above[p] = q
+                    out.append((int(node[x[a]]), int(node[y[b]])))
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return _block_pairs(members, "bucket", texts).groupBy("g", "i", "j").applyInPandas(connect, "u bigint, v bigint").distinct()
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -380,6 +380,31 @@ def test_op6_near_threshold(spark, monkeypatch):
     assert kept == {i for i, (_, c) in jaccard_brute(texts).items() if i == c}
 
 
+@pytest.mark.parametrize("rounds, blocks", [((), (400, 500_000)), ((), (5, 400)), ((1,), (3, 10**6))])
+def test_op6_blocks(spark, monkeypatch, rounds, blocks):
+    """What stars and nearest texts leave meets by blocks: chains, cliques and texts just below the threshold, whatever the blocks' size."""
+    from lariat.llm import ngram_jaccard as J
+
+    monkeypatch.setattr(J, "NEAREST", rounds)
+    monkeypatch.setattr(J, "LINK_BLOCK", blocks)
+    rng = random.Random(8)
+    texts, n = {}, 0
+    for size in (30, 60, 90, 200):
+        base = [f"v{rng.randint(0, 10**6)}" for _ in range(size)]
+        for k in range(18):
+            words = list(base)
+            for _ in range(rng.choice((1, 1, 2)) if k % 3 else size // 45):
+                words[rng.randrange(size)] = f"w{rng.randint(0, 10**6)}"
+            texts[n], n = " ".join(words), n + 1
+    for k in range(12):  # a chain: only neighbours link
+        texts[n], n = " ".join(f"c{i}" for i in range(8 * k, 8 * k + 80)), n + 1
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    links = {i: sum(j != i and 5 * len(a & b) >= 4 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    got = by_id(J.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == jaccard_brute(texts)
+    assert {i: r.n_links for i, r in got.items()} == links and max(links.values()) > 5
+
+
 def test_sketch_bounds():
     import numpy as np
 
