@@ -139,14 +139,16 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
                 out.append((len(s), *fingerprint(s)))
                 more.append((parity_sketch(s), *_key_bytes(s)))
             f = np.array(out, np.int64).reshape(-1, 3)
-            yield pd.DataFrame({"id": b["id"], "rid": b["rid"], "size": f[:, 0], "f1": f[:, 1], "f2": f[:, 2]} | {c: [m[i] for m in more] for i, c in enumerate(("sketch", "keys", "bands"))})
+            # Two tables: the keys go as soon as the shared ones are known.
+            yield pd.DataFrame({"kind": 0, "id": b["id"], "rid": b["rid"], "size": f[:, 0], "f1": f[:, 1], "f2": f[:, 2], "sketch": None, "keys": [k for _, k, _ in more], "bands": [x for *_, x in more]})
+            yield pd.DataFrame({"kind": 1, "id": None, "rid": b["rid"], "size": f[:, 0], "f1": 0, "f2": 0, "sketch": [k for k, *_ in more], "keys": None, "bands": None})
 
     # Ids name rows while they are unique and there is none missing; else hashes of id and text do.
     odd = rows.agg(F.count("*").alias("n"), F.count("id").alias("k")).first()
     unique = odd.n == odd.k and rows.select("id").distinct().count() == odd.n
     rid = F.col("id") if unique else F.xxhash64("id", "text")
     rows = rows.select("id", "text", rid.alias("rid"))
-    read = scratch(rows.mapInPandas(lean(sizes), "id bigint, rid bigint, size bigint, f1 bigint, f2 bigint, sketch binary, keys binary, bands binary"))
+    read, sketched = scratch.split(rows.mapInPandas(lean(sizes), "kind int, id bigint, rid bigint, size bigint, f1 bigint, f2 bigint, sketch binary, keys binary, bands binary"), "kind", (0, 1))
     worded = read.where("size > 0")
     classes = worded.groupBy("size", "f1", "f2").agg(F.min("rid").alias("node"), F.min("id").alias("low"), F.count("*").alias("n"))
     placed = join_each(worded.select("id", "rid", "size", "f1", "f2"), classes, ["size", "f1", "f2"], "n", odd.n).select("id", "rid", "size", "node", "low")
@@ -155,16 +157,19 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     nodes = table.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.min("low").alias("low"), F.count("*").alias("rows"))
     of_row = table.where("node is not null").groupBy("rid").agg(F.min("node").alias("node"), F.min("size").alias("size"))
 
-    published = scratch(_publish(read, of_row, (table.agg(F.sum("size").alias("s")).first().s or 0) * 0.5))
+    shared = scratch(_shared_blocks(read, (table.agg(F.sum("size").alias("s")).first().s or 0) * 0.5))
+    scratch.drop(0)
+    published = scratch(_publish(shared, of_row))
+    scratch.drop(2)
     total = published.count()
     met = published.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     published = scratch(join_each(published, met, ["key"], "n", total))
-    scratch.drop(1)
+    scratch.drop(3)
     keys = published.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("hub"))
 
     members = published.select("node").distinct()
-    sketches = scratch(read.select(F.col("rid").alias("node"), "sketch").join(members, "node").dropDuplicates(["node"]))
-    scratch.drop(0)
+    sketches = scratch(sketched.select(F.col("rid").alias("node"), "sketch").join(members, "node").dropDuplicates(["node"]))
+    scratch.drop(1)
     texts = _packed_texts(rows, members, scratch)
     tested = roots = None  # roots: node -> root so far
     for most in (0, *NEAREST):
@@ -233,8 +238,8 @@ def _key_bytes(s: np.ndarray) -> tuple[bytes, bytes]:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), np.stack((band[ends - 1], counts), 1).astype("<u4").tobytes()
 
 
-def _publish(read: DataFrame, of_row: DataFrame, total: float) -> DataFrame:
-    """(node, size, key): the (size / 4 + 1) rarest blocks of each class and band, without those that nobody shares."""
+def _shared_blocks(read: DataFrame, total: float) -> DataFrame:
+    """(key, rid, band, n) of the blocks that occur more than once, n times."""
 
     def emit():
         seen = set()
@@ -258,7 +263,11 @@ def _publish(read: DataFrame, of_row: DataFrame, total: float) -> DataFrame:
 
         return keys_of
 
-    shared = shared_keys(read.where("size > 0").select("rid", "f1", "f2", "keys", "bands"), emit, ["rid", "band"], total, "rid")
+    return shared_keys(read.where("size > 0").select("rid", "f1", "f2", "keys", "bands"), emit, ["rid", "band"], total, "rid")
+
+
+def _publish(shared: DataFrame, of_row: DataFrame) -> DataFrame:
+    """(node, size, key): the (size / 4 + 1) rarest blocks of each class and band, without those that nobody shares."""
     # Publish the (size / 4 + 1) rarest blocks of each band; blocks that nobody shares are rarest and need no row.
     known = shared.join(of_row, "rid").select("node", "size", F.shiftright("band", 32).alias("band"), F.col("band").bitwiseAND((1 << 32) - 1).alias("used"), "key", "n").dropDuplicates(["node", "band", "key"])
     order = F.sort_array(F.collect_list(F.struct("n", "key")))
