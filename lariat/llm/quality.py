@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import kept_names, masked, materialise, store
+from lariat.llm.common import kept_names, masked, materialise
 from lariat.llm.native import SPACE, SPACE_WORD, let, shift_left, shift_right, space_words, up_to
 
 FEATURES = ("n_words", "mean_chars", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "shout_share", "stop_share")
@@ -193,6 +193,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **learning) -> DataFrame:
     """The rows that neither the base rules nor the learned list reject, with all their columns, whatever their names; null, empty and short texts fail. Equal rows are kept or rejected together."""
     plain, restore = masked(docs, text, doc_id)
-    stats = store(statistics(plain))
+    stats = materialise(statistics(plain))
     rules = _learn(stats, labels, "doc_id", **learning)
     return restore(stats.where(~base_failed() & (verdict(rules) == 0)).select("row.*"))

@@ -13,7 +13,7 @@ from lariat.llm.common import lean, ship
 
 #: Keys a range holds on average, and keys a task gathers before it sends its blocks.
 RANGE_KEYS = 400_000
-BLOCK_KEYS = 250_000
+BLOCK_KEYS = 150_000
 #: Keys that a sample of rows finds this often skip the ranges: they are known to be shared, and only their place in the order depends on it. The sample is one row in SAMPLE_PART, and SAMPLE_ROWS at least, so that a key missed stands in few rows beside what a range holds.
 SAMPLE_ROWS = 8_000
 SAMPLE_PART = 10_000
