@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -341,10 +342,14 @@ def drift_numeric(spark, d):
 
 @query("select doc_id, text from documents")
 def csv_round_trip(spark, d):
-    """Documents written as CSV into the session's warehouse and read again."""
+    """Documents written as CSV into the session's warehouse and read again. Every run has a folder of its own, as frames of earlier and other runs read theirs whenever they are used; it goes when the driver's JVM ends."""
     from lariat.sources.tables import read_csv, write_csv
 
-    path = scratch(spark, "csv_round_trip")
+    path = scratch(spark, f"csv_round_trip_{uuid4().hex}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
     write_csv(table(spark, d, "documents").select("doc_id", "text"), path)
     return read_csv(spark, path, "doc_id bigint, text string", na_values=None)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -16,6 +16,9 @@ from lariat.sources.keyed_json import JOBS, PROSPECTS, read_keyed_json
 # Tokens that read as missing.
 NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 MODEL_PATH = "models/modelo_priorizacao_xgb"
+# Of both ways, so that any text comes back: Spark's writer trims by default, and its reader drops a NUL before a quote.
+CSV = {"header": True, "quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+ONLY_NUL = r"\A\x00+\z"
 
 
 @dataclass(frozen=True)
@@ -66,18 +69,26 @@ def load_and_merge(spark: SparkSession, base: str, save: str | None = None, appl
     return merged
 
 
+def _texts(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    return df.withColumns({f.name: change(F.col("`" + f.name.replace("`", "``") + "`")) for f in df.schema.fields if isinstance(f.dataType, StringType)})
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, na_values: Sequence[str] | None = NA_VALUES) -> DataFrame:
-    """Header, doubled quotes, line breaks inside quotes. Text equal to an NA token becomes null (None: only the empty string does)."""
-    df = spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST").csv(path)
+    """Header, doubled quotes, line breaks inside quotes. Text equal to an NA token becomes null. Without the empty text among the tokens (None: no tokens) only a blank field is null, so what ``write_csv`` wrote comes back as it was."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    exact = "" not in (na_values or ()) and any(isinstance(f.dataType, StringType) for f in schema)
+    df = spark.read.schema(schema).options(**CSV, multiLine=True, nullValue="\0" if exact else "", mode="FAILFAST").csv(path)
+    df = _texts(df, lambda c: F.when(c.rlike(ONLY_NUL), F.substring(c, 2, 2**31 - 1)).otherwise(c))
     if not na_values:
         return df
     return df.select(*[F.when(~F.col(f.name).isin(*na_values), F.col(f.name)).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name) for f in df.schema.fields])
 
 
 def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
-    """A folder of CSV files with headers; as many as partitions, or ``files`` (1 sends a large table through one task)."""
-    out = df.coalesce(files) if files else df
-    out.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    """A folder of CSV files with headers; as many as partitions, or ``files`` (1 sends a large table through one task). Texts keep their outer white space; null is a blank field, the empty text a quoted one. The reader's mark of a blank field is one NUL, so a text of NULs only gets one more. As blank lines are skipped, nulls of a single column are written as the mark (texts) or quoted (others)."""
+    out = _texts(df.coalesce(files) if files else df, lambda c: F.when(c.rlike(ONLY_NUL), F.concat(c, F.lit("\0"))).otherwise(c))
+    blank = "" if len(df.columns) > 1 else "\0" if isinstance(df.schema[0].dataType, StringType) else '""'
+    out.write.mode("overwrite").options(**CSV, nullValue=blank).csv(path)
 
 
 def save_model(model: PipelineModel, path: str = MODEL_PATH) -> None:

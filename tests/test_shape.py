@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -7,6 +8,7 @@ from pyspark.errors import PySparkException
 
 from lariat.operators.label import create_target_variable
 from lariat.operators.shape import dedupe_last, flatten_prospects, merge_all
+from lariat.plans.queries import csv_round_trip
 from lariat.sources.keyed_json import JOBS, PROSPECTS, read_json_lines, read_keyed_json
 from lariat.sources.tables import load_and_merge, read_applicants, read_csv, write_csv
 
@@ -104,6 +106,34 @@ def test_csv(spark, tmp_path):
     assert read(na_values=None)[3] == "NA"
 
 
+ODD_TEXTS = [None, "", " ", " a", "a ", "\ta\t", "a\n", "\n\na", "\n", "\r", "a\r\n", 'a\r"\n', ' "a" ', '"', '""', 'a",\n"b', "a\\", '\\"', "\0", "\0\0", "\0\n", 'a\0"b', '\0,a"\0', "a\x0b", "\x01\x1f", "\u00a0a\u2028", "\ufeffa", "#a", "NA", "null", ",", "x" * 300_000 + '" \n']
+
+
+def test_csv_keeps_any_text(spark, tmp_path):
+    rows = [(a, i, b) for i, a in enumerate(ODD_TEXTS) for b in ODD_TEXTS[:20]]
+    schema = "`a.b` string, i int, `c` string"
+    write_csv(spark.createDataFrame(rows, schema), str(tmp_path / "c"))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "c"), schema, None).collect()), key=key) == sorted(rows, key=key)
+    write_csv(spark.createDataFrame([(x,) for x in ODD_TEXTS], "a string"), str(tmp_path / "one"))
+    assert Counter(r.a for r in read_csv(spark, str(tmp_path / "one"), "a string", None).collect()) == Counter(ODD_TEXTS)
+    write_csv(spark.createDataFrame([(1,), (None,)], "i int"), str(tmp_path / "number"))
+    for tokens in ({}, {"na_values": None}, {"na_values": ["NA"]}):
+        assert Counter(r.i for r in read_csv(spark, str(tmp_path / "number"), "i int", **tokens).collect()) == Counter([1, None])
+    write(tmp_path / "foreign.csv", 'i,s,t\r\n"","",\r\n1,"NA",x\r\n')
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "foreign.csv"), "i int, s string, t string").collect()] == [(None, None, None), (1, None, "x")]
+
+
+def test_csv_round_trip_query(spark, tmp_path):
+    """Odd texts come back, and a frame holds its own rows after a run on another input."""
+    frames = {}
+    for name, texts in (("x", ODD_TEXTS), ("y", ["other"])):
+        spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        frames[name] = csv_round_trip(spark, f"{tmp_path}/{name}")
+    assert {r.doc_id: r.text for r in frames["x"].collect()} == dict(enumerate(ODD_TEXTS))
+    assert [tuple(r) for r in frames["y"].collect()] == [(0, "other")]
+
+
 def test_merge_empty(spark):
     empty = lambda s: spark.createDataFrame([], s)
     jobs, prospects = empty(f"key string, pos bigint, value {JOBS}"), empty(f"key string, pos bigint, value {PROSPECTS}")
